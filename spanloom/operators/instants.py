@@ -101,8 +101,12 @@ def _days(y: Column, m: Column, d: Column) -> Column:
     return (era * 146097 + doe - 719468).cast("bigint")
 
 
-def with_instant(df: DataFrame, text: str, zone: str | None, out: str = "utc_us", lo: datetime = LO, hi: datetime = HI) -> DataFrame:
-    """df with the instant named by column text, read with column zone where the text names none."""
+def with_instant(df: DataFrame, text: str, zone: str | None, out: str = "utc_us", lo: datetime = LO, hi: datetime = HI, settle: bool = False) -> DataFrame:
+    """df with the instant named by column text, read with column zone where the text names none.
+
+    settle: for putting rows in order only. A repeated wall time is then its first instant, a skipped one
+    is read with the offset before the gap; otherwise both stay null.
+    """
     lo_us, hi_us = (int((x - EPOCH).total_seconds()) * 1_000_000 for x in (lo, hi))
     pattern, fill = compiled()
     i = lambda name: F.expr(f"try_cast(nullif(_p.{name}, '') as int)")
@@ -152,6 +156,11 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str = "utc_us"
         fits = F.filter("spans", lambda s: (F.col("_wall") - s["offset_us"] >= s["from_us"]) & (F.col("_wall") - s["offset_us"] < s["to_us"]))
         x = x.withColumn("_fits", F.when((F.col("_p.z") == "") & F.col("_wall").isNotNull(), fits))
         local = F.when(F.size("_fits") == 1, F.col("_wall") - F.get("_fits", F.lit(0))["offset_us"])
+        if settle:
+            near = F.filter("spans", lambda s: F.col("_wall") - s["offset_us"] >= s["from_us"])  # the last of these ends before the gap
+            local = F.when(F.size("_fits") > 0, F.array_min(F.transform("_fits", lambda s: F.col("_wall") - s["offset_us"]))).when(
+                (F.size("_fits") == 0) & (F.size(near) > 0), F.col("_wall") - F.element_at(near, -1)["offset_us"]
+            )
     else:
         local = F.lit(None).cast("bigint")
     us = F.coalesce(F.col("_num"), F.when(F.col("_p.z") != "", F.col("_wall") - F.col("_off").cast("bigint") * 60_000_000).otherwise(local))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import conversations, langid, leakage, mixing, pairs
+from spanloom.llm import conversations, langid, leakage, mixing, pairs, pii
 from spanloom.session import table
 
 
@@ -26,6 +26,15 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "session_log"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "traces"), table(spark, d, "session_log"))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its details replaced by typed placeholders."""
+    return pii.redact(table(spark, d, "traces"), table(spark, d, "session_log"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -50,7 +59,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_labels": p1_labels, "p3_found": p3_found, "p3_conversations": p3_conversations, "p8_found": p8_found,
+    "p1_found": p1_found, "p1_labels": p1_labels, "p3_found": p3_found, "p3_conversations": p3_conversations, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found,
     "p9_shares": p9_shares, "p9_draw": p9_draw, "p10_found": p10_found, "p10_segments": p10_segments,
 }
 

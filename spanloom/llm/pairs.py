@@ -28,7 +28,7 @@ CUTOFF = {"empty": 0.5, "refusal": 0.5, "copied": 0.5, "wrong_language": 0.5, "t
 # Ways of saying nothing, of declining, and around it.
 NOTHING = r"^(?:null|none|nil|nan|n\s*a|undefined|no (?:output|answer|response|content|text|reply)|empty|keine antwort|sans réponse|sin respuesta)?$"
 DECLINES = (
-    r"\bno answer (?:will|can) be given\b|\b(?:i|we) (?:can ?not|can ?'?t|could ?n'?t|will not|won'?t|must|have to|would rather not|'d rather not|am not able|am unable|are not able|decline|refuse|have no way|am not allowed|do not wish)\b"
+    r"\bno answer (?:will|can) be given\b|\boff[ -]limits\b|\bi (?:stay|keep|remain) out of\b|\b(?:have to|should|please|better) ask (?:a|another|some)(?: (?:person|human|colleague)|one)\b|\banother (?:question|topic)\b|\b(?:i|we) (?:can ?not|can ?'?t|could ?n'?t|will not|won'?t|must|have to|would rather not|'d rather not|am not able|am unable|are not able|decline|refuse|have no way|am not allowed|do not wish)\b"
     r"|\bi'?d rather not\b|\bsomething i must decline\b|\boutside what i'?m allowed\b|\bdo(?:es)? not permit\b|\btalk about something else\b|\bas an ai\b"
     r"|\bkann ich (?:dabei|dazu|hier|ihnen|dir)? ?(?:leider )?nicht\b|\bmuss ich (?:das|dies|es|diese)\b.*\bablehnen\b|\bdarf ich\b.*\bnicht\b|\bich (?:kann|darf|möchte|muss)\b.*\b(?:nicht|ablehnen)\b"
     r"|\bje ne (?:peux|puis|suis)\b|\bje (?:dois|préfère) (?:décliner|refuser|ne pas)\b|\bil m'est (?:interdit|impossible)\b"
@@ -37,8 +37,9 @@ DECLINES = (
     r"|\bik (?:kan|mag|moet)\b.*\b(?:niet|weigeren|afwijzen)\b|\bя (?:не могу|вынужден|должен)\b"
 )
 SORRY = r"^\W*(?:i'?m sorry|sorry|i apologi[sz]e|my apologies|unfortunately|regrettably|thanks for asking|leider|entschuldigung|es tut mir leid|bedaure|désolé|je suis (?:navré|désolé)|navré|malheureusement|lo siento|disculpe|perdón|lamentablemente|desafortunadamente|desculpe|lamento|infelizmente|sinto muito|helaas|sorry|het spijt|извините|к сожалению|простите)"
-POLICY = r"\b(?:guidelines?|polic(?:y|ies)|instructions do not|not (?:allowed|permitted)|allowed to do|forbids?|richtlinien?|vorgaben|mes règles|mes consignes|mis normas|mis reglas|permitido|interdit|minhas regras|mijn regels|richtlijnen|правила\w*|human operator|something else|conflicts with|safety)\b"
+POLICY = r"\b(?:guidelines?|polic(?:y|ies)|instructions do not|not (?:allowed|permitted)|allowed to do|forbids?|richtlinien?|vorgaben|mes règles|mes consignes|mis normas|mis reglas|permitido|interdit|minhas regras|mijn regels|richtlijnen|human operator|something else|conflicts with|safety)\b"
 LABELS = r"^(?:q|question|task|prompt|user|you asked|you said|frage|aufgabe|tâche|demande|pregunta|tarea|pergunta|vraag|вопрос)$"
+FIRST_PERSON = r"^[^.!?\n]*\b(?:i|i'm|i'd|me|my|ich|mir|mich|je|j'ai|moi|mes|yo|mí|mis|eu|mim|minhas|ik|mij|mijn|я|мне|мои\w*)\b"
 ENDS = r"[.!?…。][\"'”’»)\]*_]*$"
 OPEN_ENDS = r"[,;:(\[{\-–—/\"“«„]$"
 
@@ -89,7 +90,8 @@ def end_words(x: DataFrame) -> DataFrame:
     )
 
 
-def votes(x: DataFrame) -> dict[str, list[Column]]:
+def votes(x: DataFrame) -> dict[str, list]:
+    """The labelling functions. Of truncated, two are left to voted(), which knows the counts of last words."""
     c = F.col
     words, letters = F.size(F.filter(F.split("rest", " "), lambda w: w != "")), F.length(F.regexp_replace("bare", r"[^\p{L}]", ""))
     ends = c("bare").rlike(ENDS) | c("bare").rlike(r"[)\]}`>\"”»*]$") | c("last").rlike(r"\S@ ?\S+\.\w{2,}\W*$|\S \(?(?:at|@)\)? \S+\.\w+$")
@@ -107,6 +109,7 @@ def votes(x: DataFrame) -> dict[str, list[Column]]:
             _vote(c("low").rlike(SORRY) | c("rest").rlike(SORRY)),
             _vote(c("low").rlike(POLICY)),
             _vote((words > 0) & (words <= 18) & c("low").rlike(SORRY + "|" + POLICY), words > 40),
+            _vote(c("low").rlike(FIRST_PERSON) & (words <= 22)),
             _vote(F.lit(False), c("bare").rlike(r"```|^\s*[{\[]|(?:^|\s)2[.)] |#\d{3}|\(\w+[ -]?\d")),
         ],
         "copied": [
@@ -125,8 +128,7 @@ def votes(x: DataFrame) -> dict[str, list[Column]]:
             _vote(c("finish").isin("length", "max_tokens", "max_output_tokens"), c("finish") == "stop"),
             _vote(~ends & (c("items") < 2) & (words > 1), ends & ~unclosed & (c("fences") % 2 == 0)),
             _vote((c("bare").rlike(OPEN_ENDS) & (words > 1)) | unclosed | (c("fences") % 2 == 1)),
-            _vote(~ends & (words > 1) & (c("end_share") < 0.08), c("end_share") >= 0.08),
-            _vote(~ends & (words > 1) & (c("end_share") < 0.005), ends & ~unclosed & (c("fences") % 2 == 0)),
+            (~ends & (words > 1), ends & ~unclosed & (c("fences") % 2 == 0)),  # for the votes on the last word
         ],
     }
 
@@ -165,14 +167,24 @@ def _odds(a: float, b: float, vote: int) -> float:
 
 
 def voted(traces: DataFrame) -> DataFrame:
-    """(delivery_id, one array of votes per defect)."""
+    """(delivery_id, one array of votes per defect).
+
+    Only votes and the last word of unended answers are shuffled to meet the counts of words. Rows without
+    such a word get keys of their own, so that they spread.
+    """
     x = with_features(pairs(traces))
     stats = end_words(x.select("answer").where("answer is not null"))
-    last = F.regexp_extract(F.lower("bare"), r"([\p{L}\p{N}'@.-]+)\W*$", 1)
-    x = x.withColumn("word", F.when(~F.col("bare").rlike(ENDS), last))
-    known = stats.where("`all` >= 5 or ends > 0").select("word", (F.col("ends") / F.col("all")).alias("_share"))
-    x = x.join(known, "word", "left").withColumn("end_share", F.when(F.col("word").isNotNull(), F.coalesce("_share", F.lit(0.0))))
-    return x.select("delivery_id", *[F.array(*v).alias(k) for k, v in votes(x).items()])
+    unended = F.when(~F.col("bare").rlike(ENDS), F.regexp_extract(F.lower("bare"), r"([\p{L}\p{N}'@.-]+)\W*$", 1))
+    v = votes(x)
+    *known, (ends, held) = *v["truncated"][:3], v["truncated"][3]
+    narrow = x.select("delivery_id", unended.alias("last_word"), *[F.array(*c).alias(k) for k, c in v.items() if k != "truncated"], F.array(*known).alias("known"), ends.alias("open_end"), held.alias("whole"))
+    narrow = narrow.withColumn("word", F.coalesce("last_word", F.concat(F.lit("\u0001"), F.col("delivery_id").cast("string"))))
+    share = stats.where("`all` >= 5 or ends > 0").select("word", (F.col("ends") / F.col("all")).alias("_share"))
+    y = narrow.join(share, "word", "left").withColumn("end_share", F.when(F.col("last_word").isNotNull(), F.coalesce("_share", F.lit(0.0))))
+    # how plausible the last word is as an end; the second only speaks where it hardly ever is one
+    likely, sure = F.col("end_share") >= 0.08, F.col("end_share") < 0.005
+    truncated = F.concat("known", F.array(_vote(F.col("open_end") & ~likely, likely), _vote(F.col("open_end") & sure, F.col("whole"))))
+    return y.select("delivery_id", *[d for d in DEFECTS if d != "truncated"], truncated.alias("truncated"))
 
 
 def label_model(v: DataFrame) -> dict[str, tuple[float, list[dict[int, float]]]]:

@@ -109,39 +109,39 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str = "utc_us"
     """
     lo_us, hi_us = (int((x - EPOCH).total_seconds()) * 1_000_000 for x in (lo, hi))
     pattern, fill = compiled()
-    i = lambda name: F.expr(f"try_cast(nullif(_p.{name}, '') as int)")
+    i = lambda name: F.expr(f"try_cast(nullif(__tp.{name}, '') as int)")
     split = F.split(F.regexp_replace(F.col(text), pattern, fill), r"\|", -1)
-    parts = F.struct(*[F.get(F.col("_s"), F.lit(k + 1)).alias(p) for k, p in enumerate(PARTS)])
+    parts = F.struct(*[F.get(F.col("__ts"), F.lit(k + 1)).alias(p) for k, p in enumerate(PARTS)])
     keep = df.columns
-    x = df.withColumn("_s", F.when(F.col(text).isNotNull(), split)).withColumn("_s", F.when(F.get("_s", F.lit(0)) == "\u0001", F.col("_s"))).withColumn("_p", parts)
+    x = df.withColumn("__ts", F.when(F.col(text).isNotNull(), split)).withColumn("__ts", F.when(F.get("__ts", F.lit(0)) == "\u0001", F.col("__ts"))).withColumn("__tp", parts)
 
     p, q = i("p"), i("q")
-    month_name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.col("_p.mn"))).cast("int")
+    month_name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.col("__tp.mn"))).cast("int")
     swapped = (q > 12) & (p <= 12)
     x = x.withColumns({
-        "_y": i("y"),
-        "_mo": F.coalesce(i("mo"), F.nullif(month_name, F.lit(0)), F.when(swapped, p).otherwise(q)),
-        "_d": F.coalesce(i("d"), F.when(swapped, q).otherwise(p)),
-        "_ap": F.lower("_p.ap"),
-        "_h": i("h"), "_mi": i("mi"), "_sec": F.coalesce(i("s"), F.lit(0)),
-        "_us": F.coalesce(F.expr("try_cast(substr(rpad(nullif(_p.f, ''), 9, '0'), 1, 6) as bigint)"), F.lit(0)),
+        "__ty": i("y"),
+        "__tmo": F.coalesce(i("mo"), F.nullif(month_name, F.lit(0)), F.when(swapped, p).otherwise(q)),
+        "__td": F.coalesce(i("d"), F.when(swapped, q).otherwise(p)),
+        "__tap": F.lower("__tp.ap"),
+        "__th": i("h"), "__tmi": i("mi"), "__tsec": F.coalesce(i("s"), F.lit(0)),
+        "__tus": F.coalesce(F.expr("try_cast(substr(rpad(nullif(__tp.f, ''), 9, '0'), 1, 6) as bigint)"), F.lit(0)),
     })
-    leap = ((F.col("_y") % 4 == 0) & (F.col("_y") % 100 != 0)) | (F.col("_y") % 400 == 0)
-    month_len = F.when(F.col("_mo") == 2, F.when(leap, 29).otherwise(28)).when(F.col("_mo").isin(4, 6, 9, 11), 30).otherwise(31)
-    noon = F.col("_ap") != ""
-    hour = F.when(noon, F.col("_h") % 12 + F.when(F.col("_ap") == "p", 12).otherwise(0)).otherwise(F.col("_h"))
-    valid = F.col("_mo").between(1, 12) & F.col("_d").between(1, month_len) & F.when(noon, F.col("_h").between(1, 12)).otherwise(F.col("_h").between(0, 23)) & F.col("_mi").between(0, 59) & F.col("_sec").between(0, 59)
-    wall = F.when(valid, ((_days(F.col("_y"), F.col("_mo"), F.col("_d")) * 24 + hour) * 60 + F.col("_mi")) * 60_000_000 + F.col("_sec").cast("bigint") * 1_000_000 + F.col("_us"))
-
-    z = F.upper("_p.z")
-    digits = F.regexp_replace("_p.z", "[^0-9]", "")
+    leap = ((F.col("__ty") % 4 == 0) & (F.col("__ty") % 100 != 0)) | (F.col("__ty") % 400 == 0)
+    month_len = F.when(F.col("__tmo") == 2, F.when(leap, 29).otherwise(28)).when(F.col("__tmo").isin(4, 6, 9, 11), 30).otherwise(31)
+    noon = F.col("__tap") != ""
+    hour = F.when(noon, F.col("__th") % 12 + F.when(F.col("__tap") == "p", 12).otherwise(0)).otherwise(F.col("__th"))
+    valid = F.col("__tmo").between(1, 12) & F.col("__td").between(1, month_len) & F.when(noon, F.col("__th").between(1, 12)).otherwise(F.col("__th").between(0, 23)) & F.col("__tmi").between(0, 59) & F.col("__tsec").between(0, 59)
+    wall = F.when(valid, ((_days(F.col("__ty"), F.col("__tmo"), F.col("__td")) * 24 + hour) * 60 + F.col("__tmi")) * 60_000_000 + F.col("__tsec").cast("bigint") * 1_000_000 + F.col("__tus"))
+
+    z = F.upper("__tp.z")
+    digits = F.regexp_replace("__tp.z", "[^0-9]", "")
     oh, om = F.substring(digits, 1, 2).try_cast("int"), F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("int"), F.lit(0))
-    signed = F.col("_p.z").rlike("^[+-]")
-    off_min = F.when(signed, F.when((oh <= 18) & (om <= 59), (oh * 60 + om) * F.when(F.col("_p.z").startswith("-"), -1).otherwise(1))).otherwise(
+    signed = F.col("__tp.z").rlike("^[+-]")
+    off_min = F.when(signed, F.when((oh <= 18) & (om <= 59), (oh * 60 + om) * F.when(F.col("__tp.z").startswith("-"), -1).otherwise(1))).otherwise(
         F.try_element_at(F.create_map(*[v for k, m in ABBREVIATIONS.items() for v in (F.lit(k), F.lit(m))]), z)
     )
     # a number in the only unit that puts it between lo and hi
-    num = F.expr("try_cast(nullif(_p.n, '') as decimal(38,12))")
+    num = F.expr("try_cast(nullif(__tp.n, '') as decimal(38,12))")
     number = F.lit(None).cast("bigint")
     for per in (1_000_000, 1_000, 1, 1 / 1000):
         low, high = (F.lit(str(round(x / per)) if per < 1 else f"{x / per:.6f}").cast("decimal(38,12)") for x in (lo_us, hi_us))
@@ -149,19 +149,19 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str = "utc_us"
         value = exact * F.lit(int(per)).cast("decimal(7,0)") if per >= 1 else exact / F.lit(1000).cast("decimal(4,0)")
         number = F.when((num >= low) & (num < high), F.floor(value).cast("bigint")).otherwise(number)
 
-    x = x.withColumns({"_wall": wall, "_off": off_min, "_num": number})
+    x = x.withColumns({"__twall": wall, "__toff": off_min, "__tnum": number})
     if zone:
-        zones = F.broadcast(zone_table(df.sparkSession, lo, hi).withColumnRenamed("zone", "_zone"))
-        x = x.join(zones, F.trim(F.col(zone)) == F.col("_zone"), "left")
-        fits = F.filter("spans", lambda s: (F.col("_wall") - s["offset_us"] >= s["from_us"]) & (F.col("_wall") - s["offset_us"] < s["to_us"]))
-        x = x.withColumn("_fits", F.when((F.col("_p.z") == "") & F.col("_wall").isNotNull(), fits))
-        local = F.when(F.size("_fits") == 1, F.col("_wall") - F.get("_fits", F.lit(0))["offset_us"])
+        zones = F.broadcast(zone_table(df.sparkSession, lo, hi).withColumnsRenamed({"zone": "__tzone", "spans": "__tspans"}))
+        x = x.join(zones, F.trim(F.col(zone)) == F.col("__tzone"), "left")
+        fits = F.filter("__tspans", lambda s: (F.col("__twall") - s["offset_us"] >= s["from_us"]) & (F.col("__twall") - s["offset_us"] < s["to_us"]))
+        x = x.withColumn("__tfits", F.when((F.col("__tp.z") == "") & F.col("__twall").isNotNull(), fits))
+        local = F.when(F.size("__tfits") == 1, F.col("__twall") - F.get("__tfits", F.lit(0))["offset_us"])
         if settle:
-            near = F.filter("spans", lambda s: F.col("_wall") - s["offset_us"] >= s["from_us"])  # the last of these ends before the gap
-            local = F.when(F.size("_fits") > 0, F.array_min(F.transform("_fits", lambda s: F.col("_wall") - s["offset_us"]))).when(
-                (F.size("_fits") == 0) & (F.size(near) > 0), F.col("_wall") - F.element_at(near, -1)["offset_us"]
+            near = F.filter("__tspans", lambda s: F.col("__twall") - s["offset_us"] >= s["from_us"])  # the last of these ends before the gap
+            local = F.when(F.size("__tfits") > 0, F.array_min(F.transform("__tfits", lambda s: F.col("__twall") - s["offset_us"]))).when(
+                (F.size("__tfits") == 0) & (F.size(near) > 0), F.col("__twall") - F.element_at(near, -1)["offset_us"]
             )
     else:
         local = F.lit(None).cast("bigint")
-    us = F.coalesce(F.col("_num"), F.when(F.col("_p.z") != "", F.col("_wall") - F.col("_off").cast("bigint") * 60_000_000).otherwise(local))
+    us = F.coalesce(F.col("__tnum"), F.when(F.col("__tp.z") != "", F.col("__twall") - F.col("__toff").cast("bigint") * 60_000_000).otherwise(local))
     return x.withColumn(out, us).select(*keep, F.when((F.col(out) >= lo_us) & (F.col(out) < hi_us), F.col(out)).alias(out))

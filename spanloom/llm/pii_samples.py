@@ -26,6 +26,11 @@ AROUND = {
     "ID_NUMBER": ["Identity confirmed with {}.", "The papers show {}.", "{} was checked.", "Ausgewiesen mit {}.", "A présenté le document {}.", "Se identificó con {}.", "Record holds {} on page two.", "Verified against {}."],
     "ADDRESS": ["Ship the parcel to {}.", "Lives at {} since May.", "Moved to {} last week.", "New address: {}.", "Wohnhaft {}.", "Neue Anschrift: {}", "Nouvelle adresse : {}.", "Livrer au {} svp.", "Nueva dirección: {}.", "Entregar en {} hoy.", "Left the keys at {}.", "It came back from {}."],
 }
+MIXED = [
+    "Call {PERSON} on {PHONE}.", "Ask {PERSON} ({EMAIL}) for it.", "Bitte {PERSON} unter {PHONE} anrufen.", "Rappeler {PERSON} au {PHONE}.", "Llame a {PERSON} al {PHONE}.", "Write to {PERSON} at {EMAIL} or {PHONE}.", "{PERSON} lives at {ADDRESS}.", "Deliver to {PERSON}, {ADDRESS}.", "{PERSON} showed {ID_NUMBER}.",
+    "Holder {PERSON} against {ID_NUMBER}.", "{PERSON}, {ADDRESS}, {PHONE}", "Gemeldet von {PERSON}, wohnhaft {ADDRESS}.", "Livrer chez {PERSON}, {ADDRESS}.", "Entregar a {PERSON} en {ADDRESS}.", "{PERSON} asked us to use {EMAIL}.", "{PERSON} moved to {ADDRESS} in spring.", "New number {PHONE}; the old mailbox {EMAIL} is closed.", "Form lists {ID_NUMBER} and {EMAIL}.",
+    "{PERSON} hat sich mit {ID_NUMBER} ausgewiesen.", "{PERSON} a présenté {ID_NUMBER}.", "{PERSON} se identificó con {ID_NUMBER}.", "Signed by {PERSON} and by {PERSON}.",
+]
 FILLER = [
     "The job finished without errors.", "Our nightly run skipped two records.", "Version 4.12.7.2 replaces 4.12.6.", "Order 4410-2231-9087 left the depot.", "Invoice 0917-3342-18 was settled.", "Checksum 7712 4490 1283 matches.", "Trace 9be1-44c2-0917 took 2,310,774 ms.", "Build 20251107.3 ran on host 10.2.0.44.",
     "The range 2025-04-01 to 2025-06-30 is covered.", "Pinned the loader to lib@3.2.1.", "The @cache decorator wraps step 7.", "Total due is 118.40 on the card.", "Ticket #58213 and req-77120 are open.", "See run_0c4f1 (T90133).", "Der Planer prüft die Antwort des Modells.", "Das Archiv zählt jede neue Zeile.", "Unter den neuen Regeln schließt die Sitzung.", "Die Auswertung liest den alten Bericht.",
@@ -94,14 +99,17 @@ class Maker:
         text, spans = "", []
 
         def put(kind: str, frame: str) -> None:
+            """The frame with values of kind, or of the types its places name."""
             nonlocal text
             at = 0
             while (i := frame.find("{", at)) >= 0:
                 text += frame[at:i]
-                value = make[kind]()
-                spans.append((kind, len(text), len(text) + len(value)))
-                text += value
                 at = frame.index("}", i) + 1
+                here = frame[i + 1 : at - 1]
+                here = here if here in make else kind
+                value = make[here]()
+                spans.append((here, len(text), len(text) + len(value)))
+                text += value
             text += frame[at:]
 
         how = self.r.random()
@@ -121,6 +129,8 @@ class Maker:
                 text += self.r.choice([" ", " ", "\n"])
             if self.r.random() < 0.5:
                 text += self.r.choice(FILLER)
+            elif self.r.random() < 0.35:
+                put("", self.r.choice(MIXED))
             else:
                 kind = self.r.choice(list(make))
                 put(kind, self.r.choice(AROUND[kind]))

@@ -13,10 +13,10 @@ LOG = "record_id bigint, message string, row_id bigint"
 
 def test_trees_learn_and_thresholds_cut():
     r = np.random.default_rng(1)
-    x = r.normal(size=(3000, 5))
-    y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
-    p = Trees(rounds=40).fit(x[:2000], y[:2000]).predict(x[2000:])
-    assert ((p > 0.5) == y[2000:]).mean() > 0.97
+    x = r.integers(0, 10, size=(3000, 5)).astype(float)  # few values, so that a histogram's cuts can be exact
+    y = ((x[:, 0] > 4) ^ (x[:, 3] > 6)).astype(float)
+    p = Trees().fit(x[:2000], y[:2000]).predict(x[2000:])
+    assert ((p > 0.5) == y[2000:]).mean() > 0.99
     assert 0.2 < best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) < 0.8
 
 

@@ -44,6 +44,7 @@ def grams_of(docs: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
 
 def similar_pairs(s: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b, similarity) of all pairs of sets with Jaccard similarity of at least least; a < b."""
+    s = cut(s, "sets")  # read three times
     each = s.select("id", "size", F.explode("grams").alias("g"))
     common = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     # the prefix: enough of the rarest shingles that two similar sets must share one of them

@@ -83,7 +83,7 @@ def otlp(records: DataFrame) -> DataFrame:
                             idx += 1
             names = ["file", "pos", "idx", "trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns", "attributes", "error"]
             cols = dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
-            yield pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n.endswith("_ns") else list(v) for n, v in cols.items()})
+            yield pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n.endswith("_ns") else pd.Series(list(v), dtype=object) for n, v in cols.items()})
 
     shape = "file string, pos int, idx int, trace_id string, span_id string, parent_span_id string, name string, start_ns bigint, end_ns bigint, attributes string, error boolean"
     x = records.where("record is not null").where(F.try_parse_json("record").isNotNull()).select("file", "pos", "record").mapInPandas(run, shape)

@@ -180,41 +180,47 @@ def fit(documents: DataFrame, most: int = SAMPLE_DOCS) -> Filters:
 
 
 SEGMENTS = "doc_id bigint, label string, segment int, start int, end int, sentences int, lang string, confidence double"
+LANGUAGES_OF = "doc_id bigint, label string, languages array<struct<n: int, confidence: double, lang: string>>, in_text array<string>"
+
+
+def _told(batch: pa.RecordBatch, f: Filters) -> Iterator[tuple]:
+    """(doc_id, label, sentences, language numbers, confidences) of each text with sentences in a batch."""
+    per = [sentences(t) for t in batch.column(2).to_pylist()]
+    all_of = [s for p in per for _, _, s in p]
+    lang, sure = _decide(f.scores(all_of)) if all_of else (np.zeros(0, int), np.zeros(0))
+    at = 0
+    for d, lb, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), per):
+        k = len(p)
+        ls, cs = lang[at : at + k].tolist(), sure[at : at + k].tolist()
+        at += k
+        if not k:
+            continue
+        best = max(range(k), key=lambda i: cs[i])
+        before = next((ls[i] for i in range(k) if cs[i] >= SURE), ls[best])
+        for i in range(k):
+            if cs[i] < SURE:
+                ls[i] = before  # told unsurely: it goes with the sentence before
+            before = ls[i]
+        yield d, lb, p, ls, cs
 
 
 def segments(documents: DataFrame, filters: Filters | None = None) -> DataFrame:
     """One row per stretch of sentences in one language; a sentence told unsurely goes with the one before."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(filters or fit(documents))  # SLOTS bytes
+    shared = documents.sparkSession.sparkContext.broadcast(filters or fit(documents))  # SLOTS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
         for b in batches:
-            texts = b.column(2).to_pylist()
-            per = [sentences(t) for t in texts]
-            lang, sure = _decide(f.scores([s for p in per for _, _, s in p])) if any(per) else (np.zeros(0, int), np.zeros(0))
-            size = [len(s) for p in per for _, _, s in p]
-            out, at = [], 0
-            for d, lb, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), per):
-                k = len(p)
-                ls, cs, ws = lang[at : at + k].tolist(), sure[at : at + k].tolist(), size[at : at + k]
-                at += k
-                if not k:
-                    continue
-                best = max(range(k), key=lambda i: cs[i])
-                before = next((ls[i] for i in range(k) if cs[i] >= SURE), ls[best])
-                run_of: list[list] = []
-                for i in range(k):
-                    if cs[i] < SURE:
-                        ls[i] = before
-                    before = ls[i]
-                    if run_of and run_of[-1][0] == ls[i]:
-                        run_of[-1][1].append(i)
+            out = []
+            for d, lb, p, ls, cs in _told(b, shared.value):
+                runs: list[list] = []
+                for i, x in enumerate(ls):
+                    if runs and runs[-1][0] == x:
+                        runs[-1][1].append(i)
                     else:
-                        run_of.append([ls[i], [i]])
-                for n, (l, rows) in enumerate(run_of):
-                    w = sum(ws[i] for i in rows)
-                    out.append((d, lb, n, p[rows[0]][0], p[rows[-1]][1], len(rows), LANGUAGES[l], round(sum(cs[i] * ws[i] for i in rows) / w, 6)))
+                        runs.append([x, [i]])
+                for n, (x, rows) in enumerate(runs):
+                    w = sum(len(p[i][2]) for i in rows)
+                    out.append((d, lb, n, p[rows[0]][0], p[rows[-1]][1], len(rows), LANGUAGES[x], round(sum(cs[i] * len(p[i][2]) for i in rows) / w, 6)))
             cols = list(zip(*out)) if out else [[]] * 8
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in SEGMENTS.split(", ")])
@@ -222,6 +228,30 @@ def segments(documents: DataFrame, filters: Filters | None = None) -> DataFrame:
     return documents.select("doc_id", F.col("lang").alias("label"), "text").mapInArrow(run, SEGMENTS)
 
 
+def languages(documents: DataFrame, filters: Filters | None = None) -> DataFrame:
+    """(doc_id, label, languages, in_text): per document its languages with sentences and confidence.
+
+    languages are those of two or more sentences, or else the first; in_text is every language of a sentence.
+    Each row is told from its own text alone, so nothing is shuffled.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(filters or fit(documents))
+    item = pa.struct([("n", pa.int32()), ("confidence", pa.float64()), ("lang", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, labels, langs, seen = [], [], [], []
+            for d, lb, _, ls, cs in _told(b, shared.value):
+                n = {x: ls.count(x) for x in dict.fromkeys(ls)}
+                rows = sorted(({"n": k, "confidence": round(sum(c for c, y in zip(cs, ls) if y == x) / k, 6), "lang": LANGUAGES[x]} for x, k in n.items()), key=lambda r: (-r["n"], -r["confidence"], r["lang"]))
+                ids.append(d)
+                labels.append(lb)
+                langs.append([r for r in rows if r["n"] >= 2] or rows[:1])
+                seen.append([r["lang"] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(langs, pa.list_(item)), pa.array(seen, pa.list_(pa.string()))], ["doc_id", "label", "languages", "in_text"])
+
+    return documents.select("doc_id", F.col("lang").alias("label"), "text").mapInArrow(run, LANGUAGES_OF)
+
+
 def _named(col):
     """The language a label names, as label() does, in SQL."""
     t = F.lower(F.trim(col))
@@ -230,21 +260,8 @@ def _named(col):
     return F.when(~F.coalesce(t, F.lit("")).isin("", *UNKNOWN), F.coalesce(F.try_element_at(table, t), F.try_element_at(table, head), F.lit("other")))
 
 
-def languages(documents: DataFrame, filters: Filters | None = None) -> DataFrame:
-    """(doc_id, label, languages, in_text): per document its languages with sentences and confidence.
-
-    languages are those of two or more sentences, or else the first; in_text is every language told surely.
-    """
-    # a document's segments come from one row, so they are gathered in place, without a shuffle
-    s = segments(documents, filters)
-    per = s.groupBy("doc_id", "label", "lang").agg(F.sum("sentences").alias("n"), (F.sum(F.col("confidence") * F.col("sentences")) / F.sum("sentences")).alias("confidence"))
-    doc = per.groupBy("doc_id", "label").agg(F.sort_array(F.collect_list(F.struct("n", "confidence", "lang")), asc=False).alias("all"))  # at most as many as LANGUAGES
-    two = F.filter("all", lambda x: x["n"] >= 2)
-    return doc.select("doc_id", "label", F.when(F.size(two) > 0, two).otherwise(F.slice("all", 1, 1)).alias("languages"), F.transform("all", lambda x: x["lang"]).alias("in_text"))
-
-
 def found(documents: DataFrame, filters: Filters | None = None) -> DataFrame:
     """(doc_id, lang): the languages of documents whose label is missing, unknown or wrong, or that are mixed."""
     x = languages(documents, filters).withColumn("named", _named(F.col("label")))
     case = F.col("named").isNull() | ~F.array_contains("in_text", F.col("named")) | (F.size("languages") > 1)
-    return x.where(case).select("doc_id", F.explode(F.transform("languages", lambda x: x["lang"])).alias("lang")).distinct()
+    return x.where(case).select("doc_id", F.explode(F.transform("languages", lambda x: x["lang"])).alias("lang"))

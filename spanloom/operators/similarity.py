@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,12 +154,12 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str = "vec_id",
         def run(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
             ids, mat = shared.value
             for b in batches:
-                rows = b.column(1)
-                ok = [v is not None and len(v) == width for v in rows]
-                keys = np.array(b.column(0).to_pylist(), np.int64)[ok]
+                fits = pc.equal(pc.fill_null(pc.list_value_length(b.column(1)), -1), width)
+                keys = np.asarray(b.column(0).filter(fits)).astype(np.int64)
                 if not len(keys) or not len(ids):
                     continue
-                x = np.array([v.as_py() for v, o in zip(rows, ok) if o], np.float64)
+                flat = pc.fill_null(b.column(1).filter(fits).flatten().cast(pa.float64()), 0.0)
+                x = np.asarray(flat).reshape(len(keys), width)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
                 s = np.round(mat @ x.T, 9)
                 order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k] if s.shape[1] > k else np.argsort(-s, axis=1, kind="stable")

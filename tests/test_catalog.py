@@ -1,11 +1,11 @@
 import pytest
 
-from spanloom.plans import catalog, core_problems
+from spanloom.plans import catalog, core_problems, ingested
 from tests.conftest import SMALL
 from tests.oracle import connect, same
 
-ORACLE = core_problems.ORACLE | catalog.ORACLE
-QUERIES = core_problems.QUERIES | catalog.QUERIES
+ORACLE = core_problems.ORACLE | catalog.ORACLE | ingested.ORACLE
+QUERIES = core_problems.QUERIES | catalog.QUERIES | ingested.QUERIES
 
 
 @pytest.fixture(scope="module")

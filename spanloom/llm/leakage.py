@@ -173,7 +173,7 @@ class Index:
             by_word[w].append(j)
         shifts = Counter(j - i for i, w in enumerate(a) for j in by_word.get(w, ()) if own[i])
         tried = set()
-        for middle, _ in shifts.most_common(4):
+        for middle, _ in shifts.most_common():
             if any(abs(middle - t) <= 2 for t in tried):
                 continue
             tried.add(middle)
@@ -216,9 +216,9 @@ class Index:
                 continue
             reach = int(self.length[u]) + BAND
             a, b = max(0, first - reach), min(len(t), end + reach)
-            if (u, a // BAND, b // BAND) in done:
+            if (u, a, b) in done:
                 continue
-            done.add((u, a // BAND, b // BAND))
+            done.add((u, a, b))
             if self.verify(u, t[a:b].split(" ")):
                 out.add(i)
         return sorted(out)

@@ -111,7 +111,6 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if " " not in m.group():
             continue
         words = [(w.group(), m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"\S+", m.group())]
-        words = words[:12] if len(words) > 12 else words
         for i in range(len(words)):
             for k in (2, 3, 4):
                 if i + k > len(words):

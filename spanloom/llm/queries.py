@@ -60,7 +60,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_labels": p1_labels, "p3_found": p3_found, "p3_conversations": p3_conversations, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found,
-    "p9_shares": p9_shares, "p9_draw": p9_draw, "p10_found": p10_found, "p10_segments": p10_segments,
+    "p9_draw": p9_draw, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments,
 }
 
 ORACLE: dict[str, str] = {}

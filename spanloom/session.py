@@ -20,7 +20,29 @@ def build_session(app: str = "spanloom", cores: str | int = "*", **conf: str) ->
         "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application; for sessions that weren't started with it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    name = Path(tempfile.mkdtemp(prefix="spanloom-")) / "spanloom.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(name))
+    _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

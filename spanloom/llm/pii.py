@@ -296,7 +296,9 @@ def _mapped(kind: str, detector):
                 for x in _message_leaves(t) if s == "session_log.text" and kind == "types" else leaves(t):
                     parts.append(x)
                     of.append(i)
-            spans = found.spans([t for t, _ in parts], [k for _, k in parts])
+            # ids, types and models of a message's blocks stay as they are
+            looked = ["" if src[i] == "session_log.text" and k in SKIP else t for i, (t, k) in zip(of, parts)]
+            spans = found.spans(looked, [k for _, k in parts])
             if kind == "types":
                 rows = sorted({(i, c[0]) for i, cs in zip(of, spans) for c in cs})
                 yield pa.RecordBatch.from_arrays([pa.array([src[i] for i, _ in rows], pa.string()), pa.array([ids[i] for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.string())], ["src", "row_id", "pii_type"])

@@ -55,6 +55,7 @@ def test_redacted_text_keeps_the_rest(spark):
     x = json.loads(got["traces.result", 1])
     assert x["rows"][0] == {"n": 7, "note": "Call <PERSON> on <PHONE>."} and json.loads(x["raw"]) == {"mail": "cc <EMAIL>"}
     assert got["session_log.text", 6] == "nothing"
+    assert json.loads(got["session_log.text", 5]) == [{"type": "text", "text": "Mail <EMAIL>"}, {"type": "tool_use", "id": "a@b.cd", "name": "x", "input": {}}]
     types = {(r.src, r.row_id, r.pii_type) for r in P.found(t, g).collect()}
     assert types == {("traces.completion", 1, "PERSON"), ("traces.result", 1, "PERSON"), ("traces.result", 1, "PHONE"), ("traces.result", 1, "EMAIL"), ("session_log.text", 5, "EMAIL")}
 

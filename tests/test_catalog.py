@@ -1,11 +1,11 @@
 import pytest
 
-from spanloom.plans import catalog, core_problems, ingested
+from spanloom.plans import catalog, core_problems, ingested, profiled
 from tests.conftest import SMALL
 from tests.oracle import connect, same
 
-ORACLE = core_problems.ORACLE | catalog.ORACLE | ingested.ORACLE
-QUERIES = core_problems.QUERIES | catalog.QUERIES | ingested.QUERIES
+ORACLE = core_problems.ORACLE | catalog.ORACLE | ingested.ORACLE | profiled.ORACLE
+QUERIES = core_problems.QUERIES | catalog.QUERIES | ingested.QUERIES | profiled.QUERIES
 
 
 @pytest.fixture(scope="module")

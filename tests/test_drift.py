@@ -50,3 +50,42 @@ def test_nested_feed_and_empty(spark):
     # of the two scopes a line has here, one says nothing: of equally frequent forms the first by name counts
     assert got == {("f1", "scopeSpans.spans.name", "renamed"), ("f1", "scopeSpans.spans.kind", "type_changed"), ("f2", "scopeSpans.spans.kind", "removed"), ("f2", "scopeSpans.scope.name", "renamed")}
     assert D.changes(spark.createDataFrame([], schema), D.VERCEL).count() == 0
+
+
+def test_test_tables_against_brute_force(spark):
+    """Every change of every feed at the small size, told again with dicts."""
+    import collections
+
+    import duckdb
+
+    from spanloom.plans.core_problems import p5_found
+
+    d = "/root/testdata/sf0.01"
+    kind = lambda v: {str: "string", int: "number", float: "number", bool: "boolean", dict: "object", list: "array"}.get(type(v))
+    want, con = set(), duckdb.connect()
+    for feed in D.FEEDS:
+        forms, names = collections.defaultdict(lambda: collections.defaultdict(collections.Counter)), {}
+        for c, f, s, p in con.execute(f"select collector, file_name, file_seq, {feed.payload} from '{d}/{feed.name}.parquet'").fetchall():
+            names[c, s] = f
+            try:
+                o = json.loads(p)
+            except ValueError:
+                continue
+            for level, fields in feed.level.items():
+                objects = [o] if level == "attributes" else [x for r in o["resourceSpans"] for sc in r.get("scopeSpans") or [] for x in ([sc.get("scope") or {}] if level == "scope" else sc.get("spans") or [])]
+                for w in fields:
+                    for x in objects:
+                        if w.where != "true" and "gen_ai.tool.call.arguments" in x:
+                            continue
+                        k = next((k for k in (w.key, *w.approved) if k in x), None)
+                        forms[c][s][w.path, k and (k, kind(x[k]))] += 1
+        for c, files in forms.items():
+            before = {}
+            for s in sorted(files):
+                for path in {p for p, _ in files[s]}:
+                    usual = max((n, k) for (p, k), n in files[s].items() if p == path)[1] if len({k for p, k in files[s] if p == path}) > 1 else next(k for p, k in files[s] if p == path)
+                    if path in before and before[path] != usual:
+                        a, b = before[path], usual
+                        want.add((feed.name, names[c, s], path, "added" if a is None else "removed" if b is None else "renamed" if a[0] != b[0] else "type_changed"))
+                    before[path] = usual
+    assert {tuple(r) for r in p5_found(spark, d).collect()} == want and want

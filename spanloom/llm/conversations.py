@@ -1,15 +1,17 @@
 """Conversations rebuilt from message rows.
 
-Channels that interleave in a session are disentangled: for each message the candidate parents (the
-call its result names, and the last messages of either speaker on its own and on the main channel)
-are scored by time, mention and lexical overlap, the likeliest becomes the parent, and the links form
-trees. A session's defect, if any, is read off its links.
+Channels that interleave in a session are disentangled: for each message all earlier ones of the
+session are its candidate parents, scored by time, mention and lexical overlap; the likeliest becomes
+the parent, and the links form trees. Only what can't win is left out: without a shared word the last
+message of its channel and speaker scores best of these, and of those with shared words the ones whose
+time costs more than a full overlap gains. A session's defect, if any, is read off its tool ids and
+the order of its turns, not off the links.
 
 Rows are first reduced to distinct messages, then ordered by instant; at equal instants a user's text
 comes first, then the assistant, then results, then the smaller record_id. Times that can't be read
 count as the time of loading. No window ever spans an unbounded group: sessions of more than BLOCK
 messages are cut into blocks by quantiles of their times, and what a block needs of those before it is
-carried by one summary row per block.
+carried by one summary row per block; shared words are looked up in the blocks within reach only.
 
 Rows without session_id belong to no conversation. Rows of type system or summary don't count. null
 or unreadable messages have no content. Empty tables give no rows.
@@ -63,59 +65,84 @@ def distinct_messages(m: DataFrame) -> DataFrame:
 
 
 def with_blocks(x: DataFrame) -> DataFrame:
-    """block: 0, or for large sessions the place of the row among quantiles of the session's times."""
+    """block: 0, or for large sessions the place of the row among quantiles of the session's times, cuts."""
     large = x.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}")
     hot = x.select("session_id", "at").join(large, "session_id").groupBy("session_id").agg(F.first("n").alias("n"), F.percentile_approx("at", F.array(*[F.lit(i / 1000) for i in range(1, 1000)]), 10_000).alias("q"))
     step = F.greatest(F.lit(1), F.floor(F.lit(1000.0) * BLOCK / F.col("n"))).cast("int")
     cuts = F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.lit(999)), lambda i: i % step == 0), lambda i: F.get("q", i - 1)))
     hot = cut(hot.select("session_id", cuts.alias("cuts")), "blocks")  # few rows or none
-    return x.join(hot, "session_id", "left").withColumn("block", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("at"))), F.lit(0))).drop("cuts")
+    return x.join(hot, "session_id", "left").withColumn("block", _block_at(F.col("at")))
 
 
-def _brief() -> Column:
-    return F.struct("record_id", "at", "speaker", "side", "words")
-
-
-def candidates(x: DataFrame) -> DataFrame:
-    """Each message with the last message of either speaker before it on its channel, and the last on the main one."""
-    own, main = ["session_id", "side", "block"], ["session_id", "block"]
-    before = W.partitionBy(*own).orderBy("key").rowsBetween(W.unboundedPreceding, -1)
-    before_main = W.partitionBy(*main).orderBy("key").rowsBetween(W.unboundedPreceding, -1)
-    user, assistant, mains = F.when(F.col("speaker") == "user", _brief()), F.when(F.col("speaker") == "assistant", _brief()), F.when(~F.col("side"), _brief())
-    y = x.withColumns({"l_user": F.last(user, True).over(before), "l_assistant": F.last(assistant, True).over(before), "l_main": F.last(mains, True).over(before_main), "n_before": F.row_number().over(W.partitionBy(*main).orderBy("key"))})
-    # what earlier blocks leave, one row per block; only sessions with several blocks have any
-    ends = x.where("block > 0").select("session_id").distinct()
-    sums = x.join(ends, "session_id", "left_semi")
-    per_own = sums.groupBy(*own).agg(F.max_by(user, F.when(user.isNotNull(), F.col("key"))).alias("u"), F.max_by(assistant, F.when(assistant.isNotNull(), F.col("key"))).alias("a"))
-    per_main = sums.groupBy(*main).agg(F.max_by(mains, F.when(mains.isNotNull(), F.col("key"))).alias("m"), F.count(F.lit(1)).alias("n"))
-    prior = lambda *k: W.partitionBy(*k).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    per_own = per_own.select(*own, F.last("u", True).over(prior("session_id", "side")).alias("c_user"), F.last("a", True).over(prior("session_id", "side")).alias("c_assistant"))
-    per_main = per_main.select(*main, F.last("m", True).over(prior("session_id")).alias("c_main"), F.sum("n").over(prior("session_id")).alias("c_n"))
-    y = y.join(per_own, own, "left").join(per_main, main, "left")
-    return y.select(
-        *x.columns, F.coalesce("l_user", "c_user").alias("l_user"), F.coalesce("l_assistant", "c_assistant").alias("l_assistant"), F.coalesce("l_main", "c_main").alias("l_main"),
-        (F.col("n_before") + F.coalesce("c_n", F.lit(0)) - 1).cast("int").alias("pos"),
-    )
+def _block_at(at: Column) -> Column:
+    return F.coalesce(F.size(F.filter("cuts", lambda c: c <= at)), F.lit(0))
 
 
 # Weights of the link score: a mention settles it, the rest is ordered by channel, turn taking, words, time.
 MENTION, CHANNEL, TURN, OVERLAP, DELAY = 10.0, 2.0, 1.0, 1.5, 0.25
+CLASSES = {f"l_{'side' if side else 'main'}_{speaker}": (side, speaker) for side in (False, True) for speaker in ("user", "assistant", None)}
 
 
-def _score(c: Column) -> Column:
-    common = F.size(F.array_intersect(c["words"], F.col("words"))) / F.greatest(F.lit(1), F.least(F.size(c["words"]), F.size("words")))
-    return (
-        F.lit(CHANNEL) * (c["side"] == F.col("side")).cast("int") + F.lit(TURN) * (~c["speaker"].eqNullSafe(F.col("speaker"))).cast("int")
-        + F.lit(OVERLAP) * common - F.lit(DELAY) * F.log1p(F.greatest(F.lit(0.0), (F.col("at") - c["at"]) / 1e6))
-    )
+def _standing(side: Column, speaker: Column, own_side: Column, own_speaker: Column) -> Column:
+    return F.lit(CHANNEL) * (side == own_side).cast("int") + F.lit(TURN) * (~speaker.eqNullSafe(own_speaker)).cast("int")
 
 
-def links(log: DataFrame) -> DataFrame:
-    """Distinct messages, each with its likeliest parent.
+def _delay(at: Column, own_at: Column) -> Column:
+    return F.lit(DELAY) * F.log1p(F.greatest(F.lit(0.0), (own_at - at) / 1e6))
 
-    (session_id, pos, record_id, at, speaker, side, content, text, calls, results, parent_id, link_kind,
-    score, unresolved, unanswered): unresolved counts results whose call is nowhere in the session,
-    unanswered calls whose result is nowhere.
+
+def _option(score: Column, parent_id: Column, reply: Column) -> Column:
+    """reply: to a known speaker on the same channel; all else is a branch."""
+    return F.struct(score.alias("score"), parent_id.alias("parent_id"), F.when(reply, "reply").otherwise("branch").alias("link_kind"))
+
+
+def candidates(x: DataFrame) -> DataFrame:
+    """Each message with its place, and recent: the best link to an earlier message if shared words counted for nothing.
+
+    Of messages of one channel and speaker that's the last, so six are compared.
+    """
+    own = ["session_id", "block"]
+    order = W.partitionBy(*own).orderBy("key")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    speaker = lambda v: F.lit(v).cast("string")
+    of = {k: F.when((F.col("side") == F.lit(side)) & F.col("speaker").eqNullSafe(speaker(v)), F.struct("at", "record_id")) for k, (side, v) in CLASSES.items()}
+    y = x.withColumns({k: F.max(v).over(before) for k, v in of.items()} | {"n_before": F.row_number().over(order)})
+    # what earlier blocks leave, one row per block; only sessions with several blocks have any
+    ends = x.where("block > 0").select("session_id").distinct()
+    sums = x.join(ends, "session_id", "left_semi").groupBy(*own).agg(*[F.max(v).alias(k) for k, v in of.items()], F.count(F.lit(1)).alias("n"))
+    prior = W.partitionBy("session_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*own, *[F.max(k).over(prior).alias(f"c_{k}") for k in of], F.sum("n").over(prior).alias("c_n"))
+    y = y.join(sums, own, "left").withColumns({k: F.coalesce(k, f"c_{k}") for k in of})
+    lasts = [
+        F.when(F.col(k).isNotNull(), _option(_standing(F.lit(side), speaker(v), F.col("side"), F.col("speaker")) - _delay(F.col(k)["at"], F.col("at")), F.col(k)["record_id"], (F.col("side") == F.lit(side)) & F.lit(v is not None)))
+        for k, (side, v) in CLASSES.items()
+    ]
+    return y.select(*x.columns, F.array_max(F.array_compact(F.array(*lasts))).alias("recent"), (F.col("n_before") + F.coalesce("c_n", F.lit(0)) - 1).cast("int").alias("pos"))
+
+
+def alike(x: DataFrame) -> DataFrame:
+    """(session_id, record_id, shared): the best link to an earlier message with a shared word, of those that can be better than recent.
+
+    x: messages with recent and mention. A mention beats every other link, so messages with one aren't looked at.
+    """
+    # beyond this many seconds a whole overlap on the best standing can't make up for the time; a little more for rounding
+    reach = F.least(F.lit(1e12), F.exp((F.lit(CHANNEL + TURN + OVERLAP) - F.col("recent.score")) / DELAY) * 1.000001 + 1)
+    least = _block_at(F.col("at") - (reach * 1e6).cast("bigint"))
+    new = x.where("recent is not null and mention is null").withColumn("_w", F.explode("words"))
+    new = new.select("session_id", "record_id", F.explode(F.sequence(least, "block")).alias("block"), "_w", "key", "at", "speaker", "side", F.size("words").alias("_n"), F.col("recent.score").alias("_least"))
+    old = x.select("session_id", F.col("record_id").alias("parent_id"), "block", F.explode("words").alias("_w"), F.col("key").alias("p_key"), F.col("at").alias("p_at"), F.col("speaker").alias("p_speaker"), F.col("side").alias("p_side"), F.size("words").alias("p_n"))
+    standing, delay = _standing(F.col("p_side"), F.col("p_speaker"), F.col("side"), F.col("speaker")), _delay(F.col("p_at"), F.col("at"))
+    met = new.join(old, ["session_id", "block", "_w"]).where((F.col("p_key") < F.col("key")) & (standing + F.lit(OVERLAP) - delay >= F.col("_least")))
+    met = met.select("session_id", "record_id", "parent_id", standing.alias("standing"), delay.alias("delay"), F.least("_n", "p_n").alias("n"), ((F.col("p_side") == F.col("side")) & F.col("p_speaker").isNotNull()).alias("reply"))
+    both = met.groupBy("session_id", "record_id", "parent_id").agg(F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("standing", "delay", "n", "reply")])
+    score = F.col("standing") + F.lit(OVERLAP) * (F.col("common") / F.col("n")) - F.col("delay")
+    return both.groupBy("session_id", "record_id").agg(F.max(_option(score, F.col("parent_id"), F.col("reply"))).alias("shared"))
+
+
+def matched(log: DataFrame) -> DataFrame:
+    """Distinct messages with words, block, cuts, caller (the first call its results name), unresolved and unanswered.
+
+    unresolved counts results whose call is nowhere in the session, unanswered calls whose result is nowhere.
     """
     x = distinct_messages(messages(log).where("counts"))
     x = x.withColumn("words", F.array_distinct(F.transform(F.filter(F.split(plain(F.col("text")), " "), lambda w: w != ""), lambda w: F.xxhash64(w))))
@@ -125,14 +152,23 @@ def links(log: DataFrame) -> DataFrame:
     met = calls.join(results, ["session_id", "tool_id"], "full")
     answered = x.select("session_id", "record_id", F.explode("results").alias("tool_id")).join(met, ["session_id", "tool_id"]).groupBy("session_id", "record_id").agg(F.sum(F.col("call").isNull().cast("int")).alias("unresolved"), F.min("call").alias("caller"))
     open_calls = met.where("call is not null and result is null").groupBy("session_id", F.col("call.record_id").alias("record_id")).agg(F.count(F.lit(1)).cast("int").alias("unanswered"))
-    y = candidates(x).join(answered, ["session_id", "record_id"], "left").join(open_calls, ["session_id", "record_id"], "left")
-    option = lambda c, kind: F.when(c.isNotNull(), F.struct(_score(c).alias("score"), c["record_id"].alias("parent_id"), F.lit(kind).alias("link_kind")))
+    x = x.join(answered, ["session_id", "record_id"], "left").join(open_calls, ["session_id", "record_id"], "left")
+    return x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("unresolved", "unanswered")})
+
+
+def links(log: DataFrame) -> DataFrame:
+    """Distinct messages, each with its likeliest parent.
+
+    (session_id, pos, record_id, at, speaker, side, content, text, calls, results, parent_id, link_kind,
+    score, unresolved, unanswered), the last two as in matched(). Of equal scores the larger record_id is taken.
+    """
     # a parent always comes before its child, so links can't close a circle
     mention = F.when(F.col("caller") < F.col("key"), F.struct(F.lit(MENTION).alias("score"), F.col("caller.record_id").alias("parent_id"), F.lit("mention").alias("link_kind")))
-    best = F.array_max(F.array_compact(F.array(mention, option(F.col("l_user"), "reply"), option(F.col("l_assistant"), "reply"), option(F.col("l_main"), "branch"))))
-    return y.withColumn("best", best).select(
+    y = cut(candidates(matched(log)).withColumn("mention", mention), "recent")  # read three times
+    y = y.join(alike(y), ["session_id", "record_id"], "left")
+    return y.withColumn("best", F.array_max(F.array_compact(F.array("mention", "recent", "shared")))).select(
         "session_id", "pos", "record_id", "at", "key", "speaker", "side", "content", "text", "calls", "results", "best.parent_id", F.coalesce("best.link_kind", F.lit("root")).alias("link_kind"), "best.score",
-        F.coalesce("unresolved", F.lit(0)).alias("unresolved"), F.coalesce("unanswered", F.lit(0)).alias("unanswered"),
+        "unresolved", "unanswered",
     )
 
 
@@ -154,7 +190,7 @@ def defects(log: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def found(log: DataFrame) -> DataFrame:
-    return defects(log, links(log))
+    return defects(log, matched(log))
 
 
 def threads(linked: DataFrame) -> DataFrame:

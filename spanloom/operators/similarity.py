@@ -73,13 +73,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 
 def first_of_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that no earlier similar one precedes (greedy order-dependent dropping, by links)."""
+    """The documents that no earlier similar one precedes, kept or not. On chains that's fewer than greedy_kept()."""
     reps = representatives(docs, key, text).where(F.col(key) == F.col("rep"))
     distinct = docs.join(reps.select(key), key, "left_semi")
     later = similar_pairs(sets(distinct, key, text)).select(F.col("b").alias(key)).distinct()
     return distinct.join(later, key, "left_anti")
 
 
+def greedy_kept(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: str | None = None, n: int = N, least: float = LEAST) -> DataFrame:
+    """The documents that are similar to none kept before them, in the order of key (greedy dropping); the first of copies.
+
+    bucket: a column, such as an action signature; only documents of the same bucket are compared, null being one.
+    Each round keeps what has no open earlier similar one and drops what is similar to those; the first open
+    document is settled in every round, so it ends, at the latest after half as many rounds as the longest chain has links.
+    """
+    x = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull())
+    b = F.lit(None).cast("string") if bucket is None else F.col(bucket)
+    same = x.groupBy(b.alias("_b"), F.sha2(F.array_join(words(text), " "), 256).alias("_d")).agg(F.min(key).alias(key))
+    distinct = x.join(same.select(key), key, "left_semi")
+    s = sets(distinct, key, text, n)
+    if bucket is not None:  # shingles of different buckets are different
+        s = s.join(distinct.select(F.col(key).alias("id"), b.alias("_b")), "id").select("id", F.transform("grams", lambda g: F.xxhash64(F.struct("_b"), g)).alias("grams"), "size")
+    links = cut(similar_pairs(s, least).select("a", "b"), "links")
+    dropped = links.select(F.col("b").alias(key)).limit(0)
+    while not links.isEmpty():
+        kept = links.select("a").distinct().join(links.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = cut(links.join(kept, "a", "left_semi").select(F.col("b").alias(key)).distinct(), "gone")
+        dropped = cut(dropped.unionByName(gone), "dropped")
+        links = links.join(gone.select(F.col(key).alias("b")), "b", "left_anti").join(gone.select(F.col(key).alias("a")), "a", "left_anti")
+        links = cut(links.select("a", "b"), "links")
+    return distinct.join(dropped, key, "left_anti")
+
+
 def document_frequency(docs: DataFrame, key: str, text: str, n: int, least: int = 3, share: float = 0.05) -> DataFrame:
     """(gram, docs): n-grams in at least max(least, share of all) documents (boilerplate)."""
     total = docs.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("_t"))

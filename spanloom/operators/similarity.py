@@ -105,6 +105,39 @@ def greedy_kept(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
     return distinct.join(dropped, key, "left_anti")
 
 
+def _shared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, other, na, nb, common): pairs of sets() of a and b with a common shingle."""
+    x, y = a.select("id", F.col("size").alias("na"), F.explode("grams").alias("g")), b.select(F.col("id").alias("other"), F.col("size").alias("nb"), F.explode("grams").alias("g"))
+    return x.join(y, "g").groupBy("id", "other", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+
+
+def nearest_texts(docs: DataFrame, seeds: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
+    """(key, nearest, of_seed, similarity): of each text the most similar other text or seed by Jaccard.
+
+    Of equals texts come before seeds, smaller keys first. If nothing has a common shingle, nearest is null and
+    similarity 0. seeds has key and text as docs does; every pair with a common shingle is compared.
+    """
+    own, other = sets(docs, key, text, n), sets(seeds, key, text, n)
+    pairs = _shared(own, own).where("id <> other").withColumn("of_seed", F.lit(False)).unionByName(_shared(own, other).withColumn("of_seed", F.lit(True)))
+    by = F.struct((F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"), F.struct("of_seed", "other").alias("what"))
+    best = pairs.select("id", by.alias("p")).groupBy("id").agg(F.max("p.similarity").alias("similarity"), F.min_by("p.what", F.struct(-F.col("p.similarity"), F.col("p.what"))).alias("what"))
+    return own.select("id").join(best, "id", "left").select(F.col("id").alias(key), F.col("what.other").alias("nearest"), "what.of_seed", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def seed_containment(docs: DataFrame, seeds: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
+    """(key, largest, others): the largest share of a text's shingles that one seed has, and the mean share that each other text has.
+
+    0 without seeds or shingles; others is null if there is only one text.
+    """
+    own = sets(docs, key, text, n)
+    share = F.col("common") / F.col("na")
+    near = _shared(own, sets(seeds, key, text, n)).groupBy("id").agg(F.max(share).alias("largest"))
+    pair = _shared(own, own).where("id <> other").groupBy("id").agg(F.sum(share).alias("_sum"))
+    total = own.agg(F.count(F.lit(1)).alias("_n"))
+    x = own.select("id").join(near, "id", "left").join(pair, "id", "left").crossJoin(F.broadcast(total))
+    return x.select(F.col("id").alias(key), F.coalesce("largest", F.lit(0.0)).alias("largest"), F.when(F.col("_n") > 1, F.coalesce("_sum", F.lit(0.0)) / (F.col("_n") - 1)).alias("others"))
+
+
 def document_frequency(docs: DataFrame, key: str, text: str, n: int, least: int = 3, share: float = 0.05) -> DataFrame:
     """(gram, docs): n-grams in at least max(least, share of all) documents (boilerplate)."""
     total = docs.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("_t"))
@@ -136,6 +169,12 @@ def diversity(docs: DataFrame, by: str, text: str, n: int = 3) -> DataFrame:
     return x.withColumn("ratio", F.col("distinct_grams") / F.col("grams"))
 
 
+def per_seed(docs: DataFrame, seed: str) -> DataFrame:
+    """(least, most): the fewest and most rows of a seed, null being one; 0 without rows."""
+    n = docs.groupBy(seed).agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.coalesce(F.min("n"), F.lit(0)).alias("least"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+
+
 def single_link(texts: DataFrame, key: str, text: str, n: int = 5, least: float = 0.25) -> DataFrame:
     """(key, label): clusters of single-link similarity; the label is the smallest key."""
     reps = cut(representatives(texts, key, text), "reps")

@@ -1,14 +1,22 @@
 """Feeds whose fields are added, renamed, removed or retyped from file to file, read as one table.
 
 Rescue-column ingestion in two steps. ingest() enforces the target schema: a field written under its
-usual name and castable lands in its typed column; everything else of the record (unknown names,
-values that don't cast) is kept as JSON in _rescued, so nothing is lost. replay() promotes approved
-fields: names from the approved list, or new names sharing a word with the field they replace, are
-taken out of _rescued and cast into the typed column, opening one-element lists and objects.
-
-changes() reports per file and watched field what differs from the collector's file before it. It
-counts the written forms (name and JSON type) per file with a map-side combine; what is compared
-afterwards is one row per file and field, so a hot collector or file costs no more than any other.
+usual name with its usual JSON type lands in its typed column; everything else of the record (unknown
+names, values of another type) is kept as JSON in _rescued. replay() promotes approved fields: names
+from the approved list, or new names sharing words with the field they replace, are taken out of
+_rescued and cast into the typed column, opening one-element lists and objects.
+
+Nothing is lost. A line that can't be read, or holds nothing at this level, gives one row whose places
+are null and whose _rescued has the line under _raw; an entry that is no object likewise, with its
+place. Unknown fields around a scope (of its entry, its resource's entry, the line) are in the scope
+table's _rescued under scopeSpans.*, resourceSpans.* and line.*. A JSON null under a usual name is a
+null in its column; under another it stays in _rescued.
+
+changes() reports per file and watched field what differs from the collector's file before it. How a
+record writes a field is read off what ingest() and replay() made of it: typed at once, promoted or
+still rescued, under which name and of which JSON type. These forms are counted per file with a
+map-side combine; what is compared afterwards is one row per file and field, so a hot collector or
+file costs no more than any other.
 
 A form counts for a file if most of its eligible records have it, so single odd or late lines change
 nothing. Unreadable or null records don't count. null under a name is no evidence of either kind.
@@ -26,13 +34,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Watched:
-    """A field: the usual path, the key it ends in, the type it should have, and approved other names."""
+    """A field: the usual path, the key it ends in, its usual JSON type, its column's type, and approved other names."""
 
     path: str
     key: str
+    json: str
     kind: str
     approved: tuple[str, ...] = ()
-    where: str = "true"  # eligible records, over the columns of records()
+    where: str = "true"  # eligible records, over the columns of ingest()
 
 
 @dataclass(frozen=True)
@@ -40,34 +49,37 @@ class Feed:
     name: str
     payload: str
     level: dict[str, tuple[Watched, ...]] = field(default_factory=dict)  # record level -> fields
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)  # record level -> names of the target schema
+    known: dict[str, dict[str, str]] = field(default_factory=dict)  # record level -> other names of the target schema: string, or json for any value
 
 
+_CHAT = "not array_contains(_names, 'gen_ai.tool.call.arguments') and not array_contains(_names, 'gen_ai.tool.call.result')"
 TRACES = Feed(
     "traces", "attributes",
     {"attributes": (
-        Watched("attributes.gen_ai.operation.name", "gen_ai.operation.name", "string", ("gen_ai.operation_name", "operation.name", "gen_ai.request.operation")),
-        Watched("attributes.gen_ai.request.model", "gen_ai.request.model", "string", ("gen_ai.model_id", "llm.model"), "not array_contains(names, 'gen_ai.tool.call.arguments') and not array_contains(names, 'gen_ai.tool.call.result')"),
-        Watched("attributes.gen_ai.usage.input_tokens", "gen_ai.usage.input_tokens", "bigint", ("gen_ai.usage.prompt_tokens", "tokens.input"), "not array_contains(names, 'gen_ai.tool.call.arguments') and not array_contains(names, 'gen_ai.tool.call.result')"),
+        Watched("attributes.gen_ai.operation.name", "gen_ai.operation.name", "string", "string", ("gen_ai.operation_name", "operation.name", "gen_ai.request.operation")),
+        Watched("attributes.gen_ai.request.model", "gen_ai.request.model", "string", "string", ("gen_ai.model_id", "llm.model"), _CHAT),
+        Watched("attributes.gen_ai.usage.input_tokens", "gen_ai.usage.input_tokens", "number", "bigint", ("gen_ai.usage.prompt_tokens", "tokens.input"), _CHAT),
     )},
-    {"attributes": ("task", "gen_ai.completion", "gen_ai.response.finish_reasons", "gen_ai.tool.call.arguments", "gen_ai.tool.call.result", "status")},
+    {"attributes": {"task": "string", "gen_ai.completion": "string", "gen_ai.response.finish_reasons": "json", "gen_ai.tool.call.arguments": "json", "gen_ai.tool.call.result": "json", "status": "string"}},
 )
-_SPAN = ("traceId", "spanId", "parentSpanId", "endTimeUnixNano", "attributes", "events", "links", "status", "startTimeUnixNano", "name", "kind")
+_SPAN = {k: "string" for k in ("traceId", "spanId", "parentSpanId", "name", "startTimeUnixNano", "endTimeUnixNano")} | {k: "json" for k in ("kind", "attributes", "events", "links", "status")}
+_SCOPE = {"name": "string", "version": "string", "attributes": "json"}
+_KIND = Watched("scopeSpans.spans.kind", "kind", "number", "string", ("spanKind", "span_kind"))
 VERCEL = Feed(
     "vercel", "payload",
     {
-        "spans": (Watched("scopeSpans.spans.name", "name", "string", ("operationName", "spanName", "span_name")), Watched("scopeSpans.spans.kind", "kind", "string", ("spanKind", "span_kind"))),
-        "scope": (Watched("scopeSpans.scope.name", "name", "string", ("library", "scopeName")),),
+        "spans": (Watched("scopeSpans.spans.name", "name", "string", "string", ("operationName", "spanName", "span_name")), _KIND),
+        "scope": (Watched("scopeSpans.scope.name", "name", "string", "string", ("library", "scopeName")),),
     },
-    {"spans": _SPAN, "scope": ("name", "version", "attributes")},
+    {"spans": _SPAN, "scope": _SCOPE},
 )
 OPENLLMETRY_LEGACY = Feed(
     "openllmetry_legacy", "payload",
     {
-        "spans": (Watched("scopeSpans.spans.kind", "kind", "string", ("spanKind", "span_kind")), Watched("scopeSpans.spans.startTimeUnixNano", "startTimeUnixNano", "bigint", ("startTime", "start_ns"))),
-        "scope": (Watched("scopeSpans.scope.version", "version", "string", ("libVersion", "schemaVersion", "scope_version")),),
+        "spans": (_KIND, Watched("scopeSpans.spans.startTimeUnixNano", "startTimeUnixNano", "string", "bigint", ("startTime", "start_ns"))),
+        "scope": (Watched("scopeSpans.scope.version", "version", "string", "string", ("libVersion", "schemaVersion", "scope_version")),),
     },
-    {"spans": _SPAN, "scope": ("name", "version", "attributes")},
+    {"spans": _SPAN, "scope": _SCOPE},
 )
 FEEDS = (TRACES, VERCEL, OPENLLMETRY_LEGACY)
 ID = ("collector", "file_name", "file_seq")
@@ -80,20 +92,65 @@ def _json_type(v: Column) -> Column:
     )
 
 
+def _map(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _filled(v: Column) -> Column:
+    """Neither absent nor a JSON null."""
+    return v.isNotNull() & ~F.is_variant_null(v)
+
+
+def _part(name: str, value: Column, when: Column) -> Column:
+    """A map of one entry, or none."""
+    return F.when(when, F.create_map(F.lit(name), value)).otherwise(F.expr("cast(map() as map<string,variant>)"))
+
+
+def _others(fields: Column, known: list[str], prefix: str) -> Column:
+    return F.coalesce(F.transform_keys(F.map_filter(fields, _outside(known)), lambda k, v: F.concat(F.lit(prefix), k)), F.expr("cast(map() as map<string,variant>)"))
+
+
 def records(df: DataFrame, feed: Feed, level: str, keep: tuple[str, ...] = ID) -> DataFrame:
-    """The objects of one level: keep, their place, and fields (name -> variant). Unreadable lines give none."""
-    v = F.try_parse_json(F.col(feed.payload))
+    """One row per object of a level: keep, its places, fields (name -> variant), around (what else must be kept), raw.
+
+    fields is null and raw the text where a line or an entry is no such object.
+    """
+    payload = F.col(feed.payload)
+    x = df.select(*keep, payload.alias("_p"), F.try_parse_json(payload).alias("_v"))
+    none = F.expr("cast(map() as map<string,variant>)")
     if level == "attributes":
-        x = df.select(*keep, v.alias("_v")).select(*keep, F.try_variant_get("_v", "$", "map<string,variant>").alias("fields"))
-        return x.where("fields is not null").withColumn("names", F.map_keys("fields"))
-    shape = "array<struct<scopeSpans: array<struct<scope: map<string,variant>, spans: array<map<string,variant>>>>>>"
-    x = df.select(*keep, v.alias("_v")).select(*keep, F.posexplode(F.try_variant_get("_v", "$.resourceSpans", shape)).alias("resource_pos", "_r"))
-    x = x.select(*keep, "resource_pos", F.posexplode("_r.scopeSpans").alias("scope_pos", "_s"))
+        return x.select(*keep, _map(F.col("_v")).alias("fields"), none.alias("around"), "_p").withColumn("raw", F.when(F.col("fields").isNull(), F.coalesce("_p", F.lit("null")))).drop("_p")
+    x = x.withColumn("_line", _map(F.col("_v"))).withColumn("_rs", F.try_element_at("_line", F.lit("resourceSpans")))
+    x = x.select("*", F.posexplode_outer(_list(F.col("_rs"))).alias("resource_pos", "_r")).withColumn("_rm", _map(F.col("_r")))
+    x = x.withColumn("_ss", F.try_element_at("_rm", F.lit("scopeSpans"))).select("*", F.posexplode_outer(_list(F.col("_ss"))).alias("scope_pos", "_s")).withColumn("_sm", _map(F.col("_s")))
     if level == "scope":
-        x = x.select(*keep, "resource_pos", "scope_pos", F.coalesce("_s.scope", F.expr("cast(map() as map<string,variant>)")).alias("fields"))
-    else:
-        x = x.select(*keep, "resource_pos", "scope_pos", F.posexplode("_s.spans").alias("span_pos", "fields")).where("fields is not null")
-    return x.withColumn("names", F.map_keys("fields"))
+        scope = F.try_element_at("_sm", F.lit("scope"))
+        spans = F.try_element_at("_sm", F.lit("spans"))
+        around = F.map_concat(
+            _others(F.col("_line"), ["resourceSpans"], "line."), _others(F.col("_rm"), ["resource", "scopeSpans"], "resourceSpans."), _others(F.col("_sm"), ["scope", "spans"], "scopeSpans."),
+            _part("resourceSpans.scopeSpans", F.col("_ss"), _filled(F.col("_ss")) & _list(F.col("_ss")).isNull()),
+            _part("scopeSpans.spans", spans, _filled(spans) & _list(spans).isNull()), _part("scopeSpans.scope", scope, _filled(scope) & _map(scope).isNull()),
+        )
+        resource = F.try_element_at("_rm", F.lit("resource"))
+        # a line without such an entry, and entries that are no objects
+        whole = F.col("resource_pos").isNull()
+        raw = F.when(whole, F.coalesce("_p", F.lit("null"))).when(F.col("_rm").isNull(), F.to_json("_r")).when(F.col("scope_pos").isNotNull() & F.col("_sm").isNull(), F.to_json("_s"))
+        there = F.when(F.col("_sm").isNotNull(), F.coalesce(_map(scope), none))
+        return x.select(*keep, "resource_pos", "scope_pos", there.alias("fields"), F.when(whole, none).otherwise(around).alias("around"), F.to_json(resource).alias("resource"), raw.alias("raw"))
+    # lines without any span give one row; scopes without spans have theirs in the scope table
+    x = x.select(*keep, "_p", "_line", "resource_pos", "scope_pos", F.posexplode_outer(_list(F.try_element_at("_sm", F.lit("spans")))).alias("span_pos", "_x"))
+    x = x.withColumn("fields", _map(F.col("_x")))
+    first = (F.coalesce("resource_pos", F.lit(0)) == 0) & (F.coalesce("scope_pos", F.lit(0)) == 0)
+    some = F.exists(F.coalesce(F.try_variant_get(F.try_parse_json("_p"), "$.resourceSpans", "array<struct<scopeSpans: array<struct<spans: array<variant>>>>>"), F.array()), lambda r: F.exists(r["scopeSpans"], lambda s: F.coalesce(F.size(s["spans"]), F.lit(0)) > 0))
+    alone = F.col("span_pos").isNull() & first
+    x = x.where(F.col("span_pos").isNotNull() | (alone & ~F.coalesce(some, F.lit(False))))
+    raw = F.when(F.col("span_pos").isNull(), F.coalesce("_p", F.lit("null"))).when(F.col("fields").isNull(), F.to_json("_x"))
+    places = [F.when(F.col("span_pos").isNotNull(), F.col(c)).alias(c) for c in ("resource_pos", "scope_pos", "span_pos")]
+    return x.select(*keep, *places, "fields", none.alias("around"), raw.alias("raw"))
 
 
 def _words(name: Column) -> Column:
@@ -107,47 +164,30 @@ def _own_words(key: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", re.sub("([a-z0-9])([A-Z])", r"\1_\2", key).lower()) if len(w) > 2 and w != "gen"]
 
 
-def written_as(feed: Feed, level: str, w: Watched) -> Column:
-    """The name under which a record has the field: usual, approved, or a new one sharing a word; null if none."""
-    here = F.array_intersect(F.array(*[F.lit(n) for n in (w.key, *w.approved)]), "names")
+def written_as(feed: Feed, level: str, w: Watched, names: Column) -> Column:
+    """Under which of names a record has the field: usual, approved, or a new one sharing words; null if none."""
+    here = F.array_intersect(F.array(*[F.lit(n) for n in (w.key, *w.approved)]), names)
     taken = {x for o in feed.level[level] for x in (o.key, *o.approved)} | set(feed.known.get(level, ()))
-    unknown = F.array_except("names", F.array(*[F.lit(n) for n in sorted(taken)]))
+    unknown = F.array_except(names, F.array(*[F.lit(n) for n in sorted(taken)]))
     own = F.array(*[F.lit(x) for x in _own_words(w.key)])
     alike = F.filter(unknown, lambda n: F.arrays_overlap(_words(n), own) & (F.size(F.array_intersect(_words(n), own)) * 2 > F.size(own)))
     return F.coalesce(F.get(here, F.lit(0)), F.get(F.sort_array(alike), F.lit(0)))
 
 
 def forms(df: DataFrame, feed: Feed) -> DataFrame:
-    """(collector, file_name, file_seq, field_path, name, json_type, n): how often each form was written.
-
-    Records are first counted by signature (names and types outside the known rest of the schema, and
-    which fields the record is eligible for); which name stands for which field is told per signature.
-    """
+    """(collector, file_name, file_seq, field_path, name, json_type, n): how often each form was written, as ingest() and replay() found it."""
     out = None
     for level, fields in feed.level.items():
-        watched = {w.key for w in fields}
-        rest = [k for k in feed.known.get(level, ()) if k not in watched]
-        own = F.map_filter("fields", _outside(rest)) if rest else F.col("fields")
-        sig = F.transform(F.map_entries(own), lambda e: F.struct(e["key"].alias("name"), _json_type(e["value"]).alias("json_type")))
+        x = replay(ingest(df, feed, level, ID), feed, level).where("_names is not null")
         ok = F.array(*[F.expr(w.where) for w in fields])
-        x = records(df, feed, level).select(*ID, sig.alias("sig"), ok.alias("ok")).groupBy(*ID, "sig", "ok").agg(F.count(F.lit(1)).alias("n"))
-        x = x.withColumn("names", F.transform("sig", lambda e: e["name"]))
-        per = []
-        for i, w in enumerate(fields):
-            name = written_as(feed, level, w)
-            of = F.get(F.filter("sig", _named(name)), F.lit(0))["json_type"]
-            per.append(F.struct(F.lit(w.path).alias("field_path"), name.alias("name"), of.alias("json_type"), F.get("ok", F.lit(i)).alias("ok")))
+        x = x.groupBy(*ID, "_forms", ok.alias("_ok")).agg(F.count(F.lit(1)).alias("n"))
+        x = x.select(*ID, "n", F.explode(F.arrays_zip("_forms", "_ok")).alias("f")).select(*ID, "n", "f._forms.*", "f._ok")
         # a null JSON value is no evidence, so no form at all
-        x = x.select(*ID, "n", F.explode(F.array(*per)).alias("f")).select(*ID, "n", "f.*").where("ok and (name is null or json_type is not null)")
-        x = x.groupBy(*ID, "field_path", "name", "json_type").agg(F.sum("n").alias("n"))
+        x = x.where("_ok and (name is null or json_type is not null)").groupBy(*ID, "field_path", "name", "json_type").agg(F.sum("n").alias("n"))
         out = x if out is None else out.unionByName(x)
     return out
 
 
-def _named(name: Column):
-    return lambda e: e["name"] == name
-
-
 def _outside(names: list[str]):
     return lambda k, v: ~k.isin(*names)
 
@@ -181,45 +221,66 @@ def _open(v: Column) -> Column:
     return F.when(kind == "array", listed).when(kind == "object", named).otherwise(text)
 
 
+def _column(path: str) -> str:
+    return path.replace(".", "_").lower()
+
+
 def column_name(w: Watched) -> str:
-    return w.path.rpartition("scopeSpans.")[2].removeprefix("attributes.").replace(".", "_").lower()
+    return _column(w.path.rpartition("scopeSpans.")[2].removeprefix("attributes."))
+
+
+def known_column(level: str, key: str) -> str:
+    return _column(key if level == "attributes" else f"{level}_{key}")
 
 
 def ingest(df: DataFrame, feed: Feed, level: str, keep: tuple[str, ...]) -> DataFrame:
-    """Target schema enforced: typed columns from fields under their usual name, the rest in _rescued."""
+    """Target schema enforced: a typed column per field of it, all else in _rescued. _names: all names of the record."""
     r = records(df, feed, level, keep)
-    places = [c for c in r.columns if c.endswith("_pos")]
-    typed, held = [], F.col("fields")
-    for w in feed.level[level]:
+    extra = [c for c in r.columns if c.endswith("_pos") or c == "resource"]
+    watched = {w.key: w for w in feed.level[level]}
+    cols, rest = {}, F.col("fields")
+    for w in watched.values():
         v = F.try_element_at("fields", F.lit(w.key))
-        fits = _json_type(v).isin("string", "number") if w.kind == "string" else F.lit(True)
-        value = F.when(fits & ~_json_type(v).isin("array", "object"), F.try_variant_get(v, "$", w.kind))
-        typed.append(value.alias(column_name(w)))
-    done = [(w.key, column_name(w)) for w in feed.level[level]]
-    x = r.select(*keep, *places, "names", "fields", *typed)
-    fixed = [k for k in feed.known.get(level, ()) if k not in {k for k, _ in done}]
-    rest = F.map_filter("fields", _outside(fixed)) if fixed else F.col("fields")
-    for key, col in done:
-        rest = F.map_filter(rest, _unless(F.lit(key), F.col(col).isNotNull()))
-    return x.withColumn("_rescued", F.when(F.size(rest) > 0, F.to_json(rest)))
+        cols[column_name(w)] = (F.when(_json_type(v) == w.json, F.try_variant_get(v, "$", w.kind)), w.key)
+    for k, kind in feed.known.get(level, {}).items():
+        if k not in watched:
+            v = F.try_element_at("fields", F.lit(k))
+            cols[known_column(level, k)] = (F.when(_filled(v), F.to_json(v)) if kind == "json" else F.when(_json_type(v) == "string", F.try_variant_get(v, "$", "string")), k)
+    x = r.withColumns({c: v for c, (v, _) in cols.items()})
+    for c, (_, k) in cols.items():
+        # a null is a null in its column, but of a watched field the name it stands under is kept
+        rest = F.map_filter(rest, _unless(F.lit(k), F.col(c).isNotNull() if k in watched else F.col(c).isNotNull() | ~_filled(F.try_element_at("fields", F.lit(k)))))
+    # of names that clash with what stood around it the record's own value is kept
+    none = F.expr("cast(map() as map<string,variant>)")
+    around = F.map_filter("around", lambda k, v: ~F.coalesce(F.map_contains_key("fields", k), F.lit(False)))
+    held = F.map_concat(F.coalesce(rest, none), around, _part("_raw", F.col("raw").cast("variant"), F.col("raw").isNotNull()))
+    return x.select(*keep, *extra, *cols, F.map_keys("fields").alias("_names"), F.when(F.size(held) > 0, F.to_json(held)).alias("_rescued"))
 
 
 def replay(x: DataFrame, feed: Feed, level: str) -> DataFrame:
-    """Approved fields promoted out of _rescued into their typed columns; what remains stays rescued."""
-    cols, used = {}, []
-    for w in feed.level[level]:
-        name = written_as(feed, level, w)
-        value = _open(F.try_element_at("fields", name))
-        cols[column_name(w)] = F.coalesce(F.col(column_name(w)), value.try_cast(w.kind))
-        used.append((name, column_name(w)))
-    x = x.withColumns({f"_n{i}": n for i, (n, _) in enumerate(used)}).withColumns(cols)
-    rest = F.from_json("_rescued", "map<string,variant>")
-    for i, (_, col) in enumerate(used):
-        rest = F.map_filter(rest, _unless(F.col(f"_n{i}"), F.col(col).isNotNull()))
-    x = x.withColumn("_rest", rest)
-    return x.withColumn("_rescued", F.when(F.size("_rest") > 0, F.to_json("_rest"))).drop("_rest", "names", "fields", *[f"_n{i}" for i in range(len(used))])
+    """Approved fields promoted out of _rescued into their typed columns; what remains stays rescued.
+
+    _forms: of each watched field its path, and the name and JSON type it was found under.
+    """
+    x = x.withColumn("_held", F.from_json("_rescued", "map<string,variant>"))
+    x = x.withColumn("_new", F.coalesce(F.map_keys("_held"), F.array().cast("array<string>")))
+    cols, found, taken = {}, [], []
+    for i, w in enumerate(feed.level[level]):
+        c = column_name(w)
+        name = F.when(F.col(c).isNotNull(), F.lit(w.key)).when(F.size("_new") > 0, written_as(feed, level, w, F.col("_new")))
+        x = x.withColumn(f"_n{i}", name).withColumn(f"_v{i}", F.try_element_at("_held", F.col(f"_n{i}")))
+        kind = F.when(F.col(c).isNotNull(), F.lit(w.json)).otherwise(_json_type(F.col(f"_v{i}")))
+        found.append(F.struct(F.lit(w.path).alias("field_path"), F.col(f"_n{i}").alias("name"), kind.alias("json_type")))
+        cols[c] = F.coalesce(F.col(c), _open(F.col(f"_v{i}")).try_cast(w.kind))
+        taken.append((f"_n{i}", c))
+    x = x.withColumn("_forms", F.array(*found)).withColumns(cols)
+    rest = F.col("_held")
+    for n, c in taken:
+        rest = F.map_filter(rest, _unless(F.col(n), F.col(c).isNotNull()))
+    x = x.withColumn("_held", rest).withColumn("_rescued", F.when(F.size("_held") > 0, F.to_json("_held")))
+    return x.drop("_held", "_new", *[f"_{k}{i}" for i in range(len(taken)) for k in "nv"])
 
 
 def steady_table(df: DataFrame, feed: Feed, level: str, keep: tuple[str, ...]) -> DataFrame:
-    """One consistent table of a feed's level: keep, places, the watched fields typed, and _rescued."""
-    return replay(ingest(df, feed, level, keep), feed, level)
+    """One consistent table of a feed's level: keep, places, the fields of the target schema typed, and _rescued."""
+    return replay(ingest(df, feed, level, keep), feed, level).drop("_names", "_forms")

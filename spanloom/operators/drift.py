@@ -27,14 +27,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Watched:
-    """A field: the usual path, the key it ends in, its usual JSON type, its column's type, and approved other names."""
+    """A field: the usual path, the key it ends in, its usual JSON type (as in _TYPE), its column's type, and approved other names."""
 
     path: str
     key: str
@@ -56,28 +56,28 @@ _CHAT = "not array_contains(_names, 'gen_ai.tool.call.arguments') and not array_
 TRACES = Feed(
     "traces", "attributes",
     {"attributes": (
-        Watched("attributes.gen_ai.operation.name", "gen_ai.operation.name", "string", "string", ("gen_ai.operation_name", "operation.name", "gen_ai.request.operation")),
-        Watched("attributes.gen_ai.request.model", "gen_ai.request.model", "string", "string", ("gen_ai.model_id", "llm.model"), _CHAT),
-        Watched("attributes.gen_ai.usage.input_tokens", "gen_ai.usage.input_tokens", "number", "bigint", ("gen_ai.usage.prompt_tokens", "tokens.input"), _CHAT),
+        Watched("attributes.gen_ai.operation.name", "gen_ai.operation.name", "STRING", "string", ("gen_ai.operation_name", "operation.name", "gen_ai.request.operation")),
+        Watched("attributes.gen_ai.request.model", "gen_ai.request.model", "STRING", "string", ("gen_ai.model_id", "llm.model"), _CHAT),
+        Watched("attributes.gen_ai.usage.input_tokens", "gen_ai.usage.input_tokens", "NUMBER", "bigint", ("gen_ai.usage.prompt_tokens", "tokens.input"), _CHAT),
     )},
     {"attributes": {"task": "string", "gen_ai.completion": "string", "gen_ai.response.finish_reasons": "json", "gen_ai.tool.call.arguments": "json", "gen_ai.tool.call.result": "json", "status": "string"}},
 )
 _SPAN = {k: "string" for k in ("traceId", "spanId", "parentSpanId", "name", "startTimeUnixNano", "endTimeUnixNano")} | {k: "json" for k in ("kind", "attributes", "events", "links", "status")}
 _SCOPE = {"name": "string", "version": "string", "attributes": "json"}
-_KIND = Watched("scopeSpans.spans.kind", "kind", "number", "string", ("spanKind", "span_kind"))
+_KIND = Watched("scopeSpans.spans.kind", "kind", "NUMBER", "string", ("spanKind", "span_kind"))
 VERCEL = Feed(
     "vercel", "payload",
     {
-        "spans": (Watched("scopeSpans.spans.name", "name", "string", "string", ("operationName", "spanName", "span_name")), _KIND),
-        "scope": (Watched("scopeSpans.scope.name", "name", "string", "string", ("library", "scopeName")),),
+        "spans": (Watched("scopeSpans.spans.name", "name", "STRING", "string", ("operationName", "spanName", "span_name")), _KIND),
+        "scope": (Watched("scopeSpans.scope.name", "name", "STRING", "string", ("library", "scopeName")),),
     },
     {"spans": _SPAN, "scope": _SCOPE},
 )
 OPENLLMETRY_LEGACY = Feed(
     "openllmetry_legacy", "payload",
     {
-        "spans": (_KIND, Watched("scopeSpans.spans.startTimeUnixNano", "startTimeUnixNano", "string", "bigint", ("startTime", "start_ns"))),
-        "scope": (Watched("scopeSpans.scope.version", "version", "string", "string", ("libVersion", "schemaVersion", "scope_version")),),
+        "spans": (_KIND, Watched("scopeSpans.spans.startTimeUnixNano", "startTimeUnixNano", "STRING", "bigint", ("startTime", "start_ns"))),
+        "scope": (Watched("scopeSpans.scope.version", "version", "STRING", "string", ("libVersion", "schemaVersion", "scope_version")),),
     },
     {"spans": _SPAN, "scope": _SCOPE},
 )
@@ -85,33 +85,25 @@ FEEDS = (TRACES, VERCEL, OPENLLMETRY_LEGACY)
 ID = ("collector", "file_name", "file_seq")
 
 
-def _json_type(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return (
-        F.when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s != "VOID", "number")
-    )
-
-
-def _map(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
+_NONE = "cast(map() as map<string,variant>)"
+_MAP = "try_variant_get({}, '$', 'map<string,variant>')"
+_LIST = "try_variant_get({}, '$', 'array<variant>')"
+_TYPE = "nullif(regexp_replace(regexp_replace(schema_of_variant({}), '<.*', ''), '^(?!ARRAY|OBJECT|STRING|BOOLEAN|VOID).+', 'NUMBER'), 'VOID')"
+_IS = {"STRING": "schema_of_variant({0}) = 'STRING'", "NUMBER": "(schema_of_variant({0}) in ('BIGINT', 'DOUBLE', 'FLOAT') or startswith(schema_of_variant({0}), 'DECIMAL'))"}
+_FILLED = "({0} is not null and not is_variant_null({0}))"
 
 
-def _list(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
+def _names(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
 
 
-def _filled(v: Column) -> Column:
-    """Neither absent nor a JSON null."""
-    return v.isNotNull() & ~F.is_variant_null(v)
+def _others(fields: str, known: list[str], prefix: str) -> str:
+    return f"coalesce(transform_keys(map_filter({fields}, (k, v) -> k not in ({_names(known)})), (k, v) -> '{prefix}' || k), {_NONE})"
 
 
-def _part(name: str, value: Column, when: Column) -> Column:
+def _part(name: str, value: str, when: str) -> str:
     """A map of one entry, or none."""
-    return F.when(when, F.create_map(F.lit(name), value)).otherwise(F.expr("cast(map() as map<string,variant>)"))
-
-
-def _others(fields: Column, known: list[str], prefix: str) -> Column:
-    return F.coalesce(F.transform_keys(F.map_filter(fields, _outside(known)), lambda k, v: F.concat(F.lit(prefix), k)), F.expr("cast(map() as map<string,variant>)"))
+    return f"if({when}, map('{name}', {value}), {_NONE})"
 
 
 def records(df: DataFrame, feed: Feed, level: str, keep: tuple[str, ...] = ID) -> DataFrame:
@@ -119,43 +111,29 @@ def records(df: DataFrame, feed: Feed, level: str, keep: tuple[str, ...] = ID) -
 
     fields is null and raw the text where a line or an entry is no such object.
     """
-    payload = F.col(feed.payload)
-    x = df.select(*keep, payload.alias("_p"), F.try_parse_json(payload).alias("_v"))
-    none = F.expr("cast(map() as map<string,variant>)")
+    x = df.select(*keep, F.col(feed.payload).alias("_p"), F.try_parse_json(feed.payload).alias("_v"))
+    text = "coalesce(_p, 'null')"
     if level == "attributes":
-        return x.select(*keep, _map(F.col("_v")).alias("fields"), none.alias("around"), "_p").withColumn("raw", F.when(F.col("fields").isNull(), F.coalesce("_p", F.lit("null")))).drop("_p")
-    x = x.withColumn("_line", _map(F.col("_v"))).withColumn("_rs", F.try_element_at("_line", F.lit("resourceSpans")))
-    x = x.select("*", F.posexplode_outer(_list(F.col("_rs"))).alias("resource_pos", "_r")).withColumn("_rm", _map(F.col("_r")))
-    x = x.withColumn("_ss", F.try_element_at("_rm", F.lit("scopeSpans"))).select("*", F.posexplode_outer(_list(F.col("_ss"))).alias("scope_pos", "_s")).withColumn("_sm", _map(F.col("_s")))
+        return x.selectExpr(*keep, f"{_MAP.format('_v')} fields", f"{_NONE} around", "_p").selectExpr(*keep, "fields", "around", f"if(fields is null, {text}, null) raw")
+    x = x.selectExpr(*keep, "_p", f"{_MAP.format('_v')} _line").selectExpr("*", "_line['resourceSpans'] _rs")
+    x = x.selectExpr("*", f"posexplode_outer({_LIST.format('_rs')}) as (resource_pos, _r)").selectExpr("*", f"{_MAP.format('_r')} _rm").selectExpr("*", "_rm['scopeSpans'] _ss")
+    x = x.selectExpr("*", f"posexplode_outer({_LIST.format('_ss')}) as (scope_pos, _s)").selectExpr("*", f"{_MAP.format('_s')} _sm")
     if level == "scope":
-        scope = F.try_element_at("_sm", F.lit("scope"))
-        spans = F.try_element_at("_sm", F.lit("spans"))
-        around = F.map_concat(
-            _others(F.col("_line"), ["resourceSpans"], "line."), _others(F.col("_rm"), ["resource", "scopeSpans"], "resourceSpans."), _others(F.col("_sm"), ["scope", "spans"], "scopeSpans."),
-            _part("resourceSpans.scopeSpans", F.col("_ss"), _filled(F.col("_ss")) & _list(F.col("_ss")).isNull()),
-            _part("scopeSpans.spans", spans, _filled(spans) & _list(spans).isNull()), _part("scopeSpans.scope", scope, _filled(scope) & _map(scope).isNull()),
-        )
-        resource = F.try_element_at("_rm", F.lit("resource"))
+        x = x.selectExpr("*", "_sm['scope'] _scope", "_sm['spans'] _spans")
+        around = ", ".join([
+            _others("_line", ["resourceSpans"], "line."), _others("_rm", ["resource", "scopeSpans"], "resourceSpans."), _others("_sm", ["scope", "spans"], "scopeSpans."),
+            _part("resourceSpans.scopeSpans", "_ss", f"{_FILLED.format('_ss')} and {_LIST.format('_ss')} is null"), _part("scopeSpans.spans", "_spans", f"{_FILLED.format('_spans')} and {_LIST.format('_spans')} is null"),
+            _part("scopeSpans.scope", "_scope", f"{_FILLED.format('_scope')} and {_MAP.format('_scope')} is null"),
+        ])
         # a line without such an entry, and entries that are no objects
-        whole = F.col("resource_pos").isNull()
-        raw = F.when(whole, F.coalesce("_p", F.lit("null"))).when(F.col("_rm").isNull(), F.to_json("_r")).when(F.col("scope_pos").isNotNull() & F.col("_sm").isNull(), F.to_json("_s"))
-        there = F.when(F.col("_sm").isNotNull(), F.coalesce(_map(scope), none))
-        return x.select(*keep, "resource_pos", "scope_pos", there.alias("fields"), F.when(whole, none).otherwise(around).alias("around"), F.to_json(resource).alias("resource"), raw.alias("raw"))
-    # lines without any span give one row; scopes without spans have theirs in the scope table
-    x = x.select(*keep, "_p", "_line", "resource_pos", "scope_pos", F.posexplode_outer(_list(F.try_element_at("_sm", F.lit("spans")))).alias("span_pos", "_x"))
-    x = x.withColumn("fields", _map(F.col("_x")))
-    first = (F.coalesce("resource_pos", F.lit(0)) == 0) & (F.coalesce("scope_pos", F.lit(0)) == 0)
-    some = F.exists(F.coalesce(F.try_variant_get(F.try_parse_json("_p"), "$.resourceSpans", "array<struct<scopeSpans: array<struct<spans: array<variant>>>>>"), F.array()), lambda r: F.exists(r["scopeSpans"], lambda s: F.coalesce(F.size(s["spans"]), F.lit(0)) > 0))
-    alone = F.col("span_pos").isNull() & first
-    x = x.where(F.col("span_pos").isNotNull() | (alone & ~F.coalesce(some, F.lit(False))))
-    raw = F.when(F.col("span_pos").isNull(), F.coalesce("_p", F.lit("null"))).when(F.col("fields").isNull(), F.to_json("_x"))
-    places = [F.when(F.col("span_pos").isNotNull(), F.col(c)).alias(c) for c in ("resource_pos", "scope_pos", "span_pos")]
-    return x.select(*keep, *places, "fields", none.alias("around"), raw.alias("raw"))
-
-
-def _words(name: Column) -> Column:
-    """The words of a name: camel humps and separators split, lowered."""
-    return F.filter(F.split(F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
+        raw = f"case when resource_pos is null then {text} when _rm is null then to_json(_r) when scope_pos is not null and _sm is null then to_json(_s) end raw"
+        return x.selectExpr(*keep, "resource_pos", "scope_pos", f"if(_sm is null, null, coalesce({_MAP.format('_scope')}, {_NONE})) fields", f"if(resource_pos is null, {_NONE}, map_concat({around})) around", "to_json(_rm['resource']) resource", raw)
+    # a line without any span gives one row; scopes without spans have theirs in the scope table
+    some = f"exists({_LIST.format('_rs')}, r -> exists({_LIST.format("try_variant_get(r, '$.scopeSpans')")}, s -> coalesce(size({_LIST.format("try_variant_get(s, '$.spans')")}), 0) > 0))"
+    x = x.selectExpr(*keep, "_p", "_rs", "resource_pos", "scope_pos", f"posexplode_outer({_LIST.format("_sm['spans']")}) as (span_pos, _x)")
+    x = x.where(f"span_pos is not null or (coalesce(resource_pos, 0) = 0 and coalesce(scope_pos, 0) = 0 and not coalesce({some}, false))").selectExpr("*", f"{_MAP.format('_x')} fields")
+    places = [f"if(span_pos is null, null, {c}) {c}" for c in ("resource_pos", "scope_pos", "span_pos")]
+    return x.selectExpr(*keep, *places, "fields", f"{_NONE} around", f"case when span_pos is null then {text} when fields is null then to_json(_x) end raw")
 
 
 def _own_words(key: str) -> list[str]:
@@ -164,14 +142,14 @@ def _own_words(key: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", re.sub("([a-z0-9])([A-Z])", r"\1_\2", key).lower()) if len(w) > 2 and w != "gen"]
 
 
-def written_as(feed: Feed, level: str, w: Watched, names: Column) -> Column:
+def written_as(feed: Feed, level: str, w: Watched, names: str) -> str:
     """Under which of names a record has the field: usual, approved, or a new one sharing words; null if none."""
-    here = F.array_intersect(F.array(*[F.lit(n) for n in (w.key, *w.approved)]), names)
     taken = {x for o in feed.level[level] for x in (o.key, *o.approved)} | set(feed.known.get(level, ()))
-    unknown = F.array_except(names, F.array(*[F.lit(n) for n in sorted(taken)]))
-    own = F.array(*[F.lit(x) for x in _own_words(w.key)])
-    alike = F.filter(unknown, lambda n: F.arrays_overlap(_words(n), own) & (F.size(F.array_intersect(_words(n), own)) * 2 > F.size(own)))
-    return F.coalesce(F.get(here, F.lit(0)), F.get(F.sort_array(alike), F.lit(0)))
+    own = _own_words(w.key)
+    # the words of a name: camel humps and separators split, lowered; more than half of the field's must be there
+    words = "split(lower(regexp_replace(n, '([a-z0-9])([A-Z])', '$1_$2')), '[^a-z0-9]+')"
+    alike = f"filter({names}, n -> n not in ({_names(sorted(taken))}) and size(array_intersect({words}, array({_names(own)}))) * 2 > {len(own)})"
+    return f"coalesce(get(array_intersect(array({_names((w.key, *w.approved))}), {names}), 0), get(sort_array({alike}), 0))"
 
 
 def forms(df: DataFrame, feed: Feed) -> DataFrame:
@@ -179,24 +157,14 @@ def forms(df: DataFrame, feed: Feed) -> DataFrame:
     out = None
     for level, fields in feed.level.items():
         x = replay(ingest(df, feed, level, ID), feed, level).where("_names is not null")
-        ok = F.array(*[F.expr(w.where) for w in fields])
-        x = x.groupBy(*ID, "_forms", ok.alias("_ok")).agg(F.count(F.lit(1)).alias("n"))
-        x = x.select(*ID, "n", F.explode(F.arrays_zip("_forms", "_ok")).alias("f")).select(*ID, "n", "f._forms.*", "f._ok")
+        x = x.selectExpr(*ID, "_forms", f"array({', '.join(w.where for w in fields)}) _ok").groupBy(*ID, "_forms", "_ok").agg(F.count(F.lit(1)).alias("n"))
+        x = x.selectExpr(*ID, "n", "explode(arrays_zip(_forms, _ok)) f").selectExpr(*ID, "n", "f._forms.*", "f._ok")
         # a null JSON value is no evidence, so no form at all
         x = x.where("_ok and (name is null or json_type is not null)").groupBy(*ID, "field_path", "name", "json_type").agg(F.sum("n").alias("n"))
         out = x if out is None else out.unionByName(x)
     return out
 
 
-def _outside(names: list[str]):
-    return lambda k, v: ~k.isin(*names)
-
-
-def _unless(name: Column, placed: Column):
-    """Entries but the one of that name, once its value has found its place."""
-    return lambda k, v: ~(k.eqNullSafe(name) & placed)
-
-
 def changes(df: DataFrame, feed: Feed) -> DataFrame:
     """(feed, file_name, field_path, change_kind): fields written otherwise than in the file before."""
     by_file = W.partitionBy("collector", "file_seq", "file_name", "field_path").orderBy(F.desc("n"), F.asc_nulls_last("name"), "json_type")
@@ -212,13 +180,10 @@ def changes(df: DataFrame, feed: Feed) -> DataFrame:
     return x.where("not _first").select(F.lit(feed.name).alias("feed"), "file_name", "field_path", kind.alias("change_kind")).where("change_kind is not null")
 
 
-def _open(v: Column) -> Column:
+def _open(v: str) -> str:
     """A value that may be wrapped in a one-element list or an object, as text."""
-    text = F.try_variant_get(v, "$", "string")
-    listed = F.try_variant_get(v, "$[0]", "string")
-    named = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in ("value", "stringValue", "name", "id")])
-    kind = _json_type(v)
-    return F.when(kind == "array", listed).when(kind == "object", named).otherwise(text)
+    get = lambda path: f"try_variant_get({v}, '$.{path}', 'string')"
+    return f"case {_TYPE.format(v)} when 'ARRAY' then try_variant_get({v}, '$[0]', 'string') when 'OBJECT' then coalesce({', '.join(map(get, ('value', 'stringValue', 'name', 'id')))}) else try_variant_get({v}, '$', 'string') end"
 
 
 def _column(path: str) -> str:
@@ -237,24 +202,22 @@ def ingest(df: DataFrame, feed: Feed, level: str, keep: tuple[str, ...]) -> Data
     """Target schema enforced: a typed column per field of it, all else in _rescued. _names: all names of the record."""
     r = records(df, feed, level, keep)
     extra = [c for c in r.columns if c.endswith("_pos") or c == "resource"]
-    watched = {w.key: w for w in feed.level[level]}
-    cols, rest = {}, F.col("fields")
-    for w in watched.values():
-        v = F.try_element_at("fields", F.lit(w.key))
-        cols[column_name(w)] = (F.when(_json_type(v) == w.json, F.try_variant_get(v, "$", w.kind)), w.key)
-    for k, kind in feed.known.get(level, {}).items():
-        if k not in watched:
-            v = F.try_element_at("fields", F.lit(k))
-            cols[known_column(level, k)] = (F.when(_filled(v), F.to_json(v)) if kind == "json" else F.when(_json_type(v) == "string", F.try_variant_get(v, "$", "string")), k)
-    x = r.withColumns({c: v for c, (v, _) in cols.items()})
-    for c, (_, k) in cols.items():
-        # a null is a null in its column, but of a watched field the name it stands under is kept
-        rest = F.map_filter(rest, _unless(F.lit(k), F.col(c).isNotNull() if k in watched else F.col(c).isNotNull() | ~_filled(F.try_element_at("fields", F.lit(k)))))
+    watched = feed.level[level]
+    known = {k: kind for k, kind in feed.known.get(level, {}).items() if k not in {w.key for w in watched}}
+    cols, any_of, text_of = [], [k for k, kind in known.items() if kind == "json"], [k for k, kind in known.items() if kind == "string"]
+    for w in watched:
+        v = f"fields['{w.key}']"
+        cols.append(f"if({_IS[w.json].format(v)}, try_variant_get({v}, '$', '{w.kind}'), null) {column_name(w)}")
+    for k, kind in known.items():
+        v = f"fields['{k}']"
+        cols.append((f"if({_FILLED.format(v)}, to_json({v}), null) " if kind == "json" else f"if({_IS['STRING'].format(v)}, try_variant_get({v}, '$', 'string'), null) ") + known_column(level, k))
+    # a null is a null in its column; of a watched field the name it stands under is kept
+    placed = f"case when k in ({_names(any_of)}) then true when k in ({_names(text_of)}) then schema_of_variant(v) in ('STRING', 'VOID') "
+    placed += " ".join(f"when k = '{w.key}' then {_IS[w.json].format('v')} and try_variant_get(v, '$', '{w.kind}') is not null" for w in watched) + " else false end"
     # of names that clash with what stood around it the record's own value is kept
-    none = F.expr("cast(map() as map<string,variant>)")
-    around = F.map_filter("around", lambda k, v: ~F.coalesce(F.map_contains_key("fields", k), F.lit(False)))
-    held = F.map_concat(F.coalesce(rest, none), around, _part("_raw", F.col("raw").cast("variant"), F.col("raw").isNotNull()))
-    return x.select(*keep, *extra, *cols, F.map_keys("fields").alias("_names"), F.when(F.size(held) > 0, F.to_json(held)).alias("_rescued"))
+    around = "map_filter(around, (k, v) -> not coalesce(map_contains_key(fields, k), false))"
+    held = f"map_concat(coalesce(map_filter(fields, (k, v) -> not {placed}), {_NONE}), {around}, {_part('_raw', 'cast(raw as variant)', 'raw is not null')})"
+    return r.selectExpr(*keep, *extra, *cols, "map_keys(fields) _names", f"{held} _held").selectExpr(*keep, *extra, *[c.rpartition(" ")[2] for c in cols], "_names", "if(size(_held) > 0, to_json(_held), null) _rescued")
 
 
 def replay(x: DataFrame, feed: Feed, level: str) -> DataFrame:
@@ -262,23 +225,18 @@ def replay(x: DataFrame, feed: Feed, level: str) -> DataFrame:
 
     _forms: of each watched field its path, and the name and JSON type it was found under.
     """
-    x = x.withColumn("_held", F.from_json("_rescued", "map<string,variant>"))
-    x = x.withColumn("_new", F.coalesce(F.map_keys("_held"), F.array().cast("array<string>")))
-    cols, found, taken = {}, [], []
-    for i, w in enumerate(feed.level[level]):
-        c = column_name(w)
-        name = F.when(F.col(c).isNotNull(), F.lit(w.key)).when(F.size("_new") > 0, written_as(feed, level, w, F.col("_new")))
-        x = x.withColumn(f"_n{i}", name).withColumn(f"_v{i}", F.try_element_at("_held", F.col(f"_n{i}")))
-        kind = F.when(F.col(c).isNotNull(), F.lit(w.json)).otherwise(_json_type(F.col(f"_v{i}")))
-        found.append(F.struct(F.lit(w.path).alias("field_path"), F.col(f"_n{i}").alias("name"), kind.alias("json_type")))
-        cols[c] = F.coalesce(F.col(c), _open(F.col(f"_v{i}")).try_cast(w.kind))
-        taken.append((f"_n{i}", c))
-    x = x.withColumn("_forms", F.array(*found)).withColumns(cols)
-    rest = F.col("_held")
-    for n, c in taken:
-        rest = F.map_filter(rest, _unless(F.col(n), F.col(c).isNotNull()))
-    x = x.withColumn("_held", rest).withColumn("_rescued", F.when(F.size("_held") > 0, F.to_json("_held")))
-    return x.drop("_held", "_new", *[f"_{k}{i}" for i in range(len(taken)) for k in "nv"])
+    fields = list(enumerate(feed.level[level]))
+    columns = x.columns
+    x = x.selectExpr("*", "from_json(_rescued, 'map<string,variant>') _held").selectExpr("*", "coalesce(map_keys(_held), cast(array() as array<string>)) _new")
+    x = x.selectExpr("*", *[f"case when {column_name(w)} is not null then '{w.key}' when size(_new) > 0 then {written_as(feed, level, w, '_new')} end _n{i}" for i, w in fields])
+    x = x.selectExpr("*", *[f"_held[_n{i}] _v{i}" for i, _ in fields])
+    found = ", ".join(f"named_struct('field_path', '{w.path}', 'name', _n{i}, 'json_type', if({column_name(w)} is not null, '{w.json}', {_TYPE.format(f'_v{i}')}))" for i, w in fields)
+    typed = {column_name(w): f"coalesce({column_name(w)}, try_cast({_open(f'_v{i}')} as {w.kind})) {column_name(w)}" for i, w in fields}
+    x = x.selectExpr(*[typed.get(c, c) for c in columns], "_held", *[f"_n{i}" for i, _ in fields], f"array({found}) _forms")
+    # out of _rescued once the value has found its place
+    left = " and ".join(f"not (k <=> _n{i} and {column_name(w)} is not null)" for i, w in fields)
+    x = x.selectExpr(*[c for c in columns if c != "_rescued"], "_forms", f"map_filter(_held, (k, v) -> {left}) _held")
+    return x.selectExpr(*[c for c in columns if c != "_rescued"], "_forms", "if(size(_held) > 0, to_json(_held), null) _rescued")
 
 
 def steady_table(df: DataFrame, feed: Feed, level: str, keep: tuple[str, ...]) -> DataFrame:

@@ -138,16 +138,18 @@ def assemble(leaves: list[Leaf], n: int, kind: pa.DataType, name: str) -> list:
 
 
 # The tables of an export: name -> (path of the list, its depth)
+_OWNERS = {"resource": (("resource_spans", "resource", "attributes"), 2), "span": (("resource_spans", "scopeSpans", "spans", "attributes"), 4), "event": (("resource_spans", "scopeSpans", "spans", "events", "attributes"), 5)}
 TABLES = {
     "resources": (("resource_spans",), 1),
-    "resource_attributes": (("resource_spans", "resource", "attributes"), 2),
     "scopes": (("resource_spans", "scopeSpans"), 2),
     "spans": (("resource_spans", "scopeSpans", "spans"), 3),
-    "span_attributes": (("resource_spans", "scopeSpans", "spans", "attributes"), 4),
     "events": (("resource_spans", "scopeSpans", "spans", "events"), 4),
-    "event_attributes": (("resource_spans", "scopeSpans", "spans", "events", "attributes"), 5),
+    **{f"{o}_attributes": at for o, at in _OWNERS.items()},
+    # what an attribute's own list holds: one row per entry
+    **{f"{o}_attribute_{c}_items": ((*path, "value", f"{c}Value", "values"), depth + 1) for o, (path, depth) in _OWNERS.items() for c in ("array", "kvlist")},
 }
-SCALARS = ("stringValue", "intValue", "doubleValue", "boolValue")
+SCALARS = {"string": "stringValue", "int": "intValue", "double": "doubleValue", "bool": "boolValue"}
+LISTS = {"array": "arrayValue", "kvlist": "kvlistValue"}
 
 
 def _text(x: pa.Array) -> pa.Array:
@@ -158,11 +160,23 @@ def _first_text(leaves: dict[tuple, Leaf], base: tuple, depth: int) -> pa.Array:
     """An AnyValue's scalar as text, whichever of its fields is filled."""
     import pyarrow.compute as pc
 
-    cols = [_text(column(leaves[(*base, s)], depth)) for s in SCALARS if (*base, s) in leaves]
-    return pc.coalesce(*cols)
+    cols = [_text(column(leaves[(*base, s)], depth)) for s in SCALARS.values() if (*base, s) in leaves]
+    return pc.coalesce(*cols) if cols else pa.nulls(0, pa.string())
 
 
-def _batches(name: str, key: str, fixed: dict[str, tuple[str, ...]], path: tuple[str, ...], depth: int, names: list[str], valued: bool):
+def _filled_kind(leaves: dict[tuple, Leaf], base: tuple, depth: int) -> pa.Array:
+    """Which of an AnyValue's fields is filled: a scalar, or a list that has its own table."""
+    out = None
+    for kind, name in (SCALARS | LISTS).items():
+        leaf = next((x for p, x in leaves.items() if p[: len(base) + 1] == (*base, name)), None)
+        if leaf is not None:
+            # the field's definition level is one for each part of its path and two for each list before it
+            filled = leaf.dfn[starts(leaf, depth)] >= len(base) + 1 + 2 * depth
+            out = np.where(filled & (out == ""), kind, out) if out is not None else np.where(filled, kind, "")
+    return pa.array(np.where(out == "", None, out), pa.string()) if out is not None else pa.nulls(0, pa.string())
+
+
+def _batches(name: str, key: str, fixed: dict[str, tuple[str, ...]], path: tuple[str, ...], depth: int, names: list[str], value: tuple[str, ...] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaves = {x.path: x for x in shred(batch.column(batch.schema.get_field_index(name)), name)}
@@ -172,33 +186,55 @@ def _batches(name: str, key: str, fixed: dict[str, tuple[str, ...]], path: tuple
             cols |= {n: pa.array(p.astype(np.int32)) for n, p in zip(names, rows[1:])}
             cols["present"] = pa.array(present(any_leaf, depth))
             cols |= {n: _text(column(leaves[p], depth)) for n, p in fixed.items() if p in leaves}
-            if valued:
-                cols["value"] = _first_text(leaves, (*path, "value"), depth)
+            if value is not None:
+                cols["value_kind"] = _filled_kind(leaves, value, depth)
+                cols["value"] = _first_text(leaves, value, depth)
             yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
 def flat_table(exports: DataFrame, table: str, key: str = "export_id", column_name: str = "resource_spans") -> DataFrame:
-    """One of TABLES: key, 0-based places in the enclosing lists (the parent link), values as text."""
+    """One of TABLES: key, 0-based places in the enclosing lists (the parent link), values as text.
+
+    An attribute says in value_kind which field of its value is filled; of array and kvlist the entries
+    are rows of their own tables, under the attribute's place.
+    """
     path, depth = TABLES[table]
     path = (column_name, *path[1:])
-    tops = ("resource_pos", "scope_pos", "span_pos")
-    names = {
-        "resources": ["resource_pos"], "resource_attributes": ["resource_pos", "attribute_pos"], "scopes": ["resource_pos", "scope_pos"],
-        "spans": list(tops), "span_attributes": [*tops, "attribute_pos"], "events": [*tops, "event_pos"], "event_attributes": [*tops, "event_pos", "attribute_pos"],
-    }[table]
+    owner = table.split("_attribute")[0]
+    tops = ["resource_pos", "scope_pos", "span_pos"]
+    names = {"resource": tops[:1], "resources": tops[:1], "scopes": tops[:2], "event": [*tops, "event_pos"], "events": [*tops, "event_pos"]}.get(owner, tops)
+    names = [*names, *(["attribute_pos"] if "_attribute" in table else []), *(["item_pos"] if table.endswith("items") else [])]
     fixed = {
-        "resources": {}, "resource_attributes": {"key": (*path, "key")}, "scopes": {"scope_name": (*path, "scope", "name"), "scope_version": (*path, "scope", "version")},
+        "scopes": {"scope_name": ("scope", "name"), "scope_version": ("scope", "version")}, "events": {"name": ("name",), "time_unix_nano": ("timeUnixNano",)},
         "spans": {
-            "trace_id": (*path, "traceId"), "span_id": (*path, "spanId"), "parent_span_id": (*path, "parentSpanId"), "name": (*path, "name"), "kind": (*path, "kind"),
-            "start_time_unix_nano": (*path, "startTimeUnixNano"), "end_time_unix_nano": (*path, "endTimeUnixNano"), "status_code": (*path, "status", "code"), "status_message": (*path, "status", "message"),
+            "trace_id": ("traceId",), "span_id": ("spanId",), "parent_span_id": ("parentSpanId",), "name": ("name",), "kind": ("kind",), "start_time_unix_nano": ("startTimeUnixNano",),
+            "end_time_unix_nano": ("endTimeUnixNano",), "status_code": ("status", "code"), "status_message": ("status", "message"),
         },
-        "span_attributes": {"key": (*path, "key")}, "events": {"name": (*path, "name"), "time_unix_nano": (*path, "timeUnixNano")}, "event_attributes": {"key": (*path, "key")},
-    }[table]
-    valued = table.endswith("attributes")
-    schema = T.StructType([exports.schema[key], *[T.StructField(n, T.IntegerType()) for n in names], T.StructField("present", T.BooleanType()), *[T.StructField(n, T.StringType()) for n in fixed], *([T.StructField("value", T.StringType())] if valued else [])])
-    return exports.select(key, column_name).mapInArrow(_batches(column_name, key, fixed, path, depth, names, valued), schema)
+    }.get(table, {"key": ("key",)} if table.endswith(("attributes", "kvlist_items")) else {})
+    fixed = {n: (*path, *p) for n, p in fixed.items()}
+    value = None if "_attribute" not in table else path if table.endswith("array_items") else (*path, "value")
+    schema = T.StructType([exports.schema[key], *[T.StructField(n, T.IntegerType()) for n in names], T.StructField("present", T.BooleanType()), *[T.StructField(n, T.StringType()) for n in [*fixed, *(["value_kind", "value"] if value else [])]]])
+    return exports.select(key, column_name).mapInArrow(_batches(column_name, key, fixed, path, depth, names, value), schema)
+
+
+def _looked_up(at: tuple[np.ndarray, ...], values: np.ndarray, wanted: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The first value at each wanted place, or None; at is in ascending order. Size and time follow the entries."""
+    both = [np.concatenate(x) for x in zip(at, wanted)]
+    new = np.zeros(len(both[0]), bool)
+    order = np.lexsort(both[::-1])
+    for x in both:
+        new[1:] |= np.diff(x[order]) != 0
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new)
+    have, want = number[: len(at[0])], number[len(at[0]) :]
+    out = np.full(len(want), None, object)
+    if len(have):
+        i = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        there = have[i] == want
+        out[there] = values[i[there]]
+    return out
 
 
 def span_rows(exports: DataFrame, key: str = "export_id", column_name: str = "resource_spans", resource_key: str = "service.name", extra: dict[str, str] | None = None) -> DataFrame:
@@ -221,19 +257,13 @@ def span_rows(exports: DataFrame, key: str = "export_id", column_name: str = "re
             arec, ar, _ = places(attr, 2)
             keys = column(attr, 2).to_numpy(zero_copy_only=False)
             texts = _first_text(leaves, (column_name, "resource", "attributes", "value"), 2).to_numpy(zero_copy_only=False)
-            width = int(max([1, *(x.max() + 1 for x in (r, sr, ar) if len(x))]))
-            deep = int(max([1, *(x.max() + 1 for x in (s, ss) if len(x))]))
-            of = record * width + r  # rows of the resources, numbered
-            names = np.full(batch.num_rows * width * deep, None, object)
-            names[(srec * width + sr) * deep + ss] = column(scope, 2).to_numpy(zero_copy_only=False)
             cols = {key: batch.column(batch.schema.get_field_index(key)).take(pa.array(record)), "resource_pos": pa.array(r.astype(np.int32)), "scope_pos": pa.array(s.astype(np.int32)), "span_pos": pa.array(p.astype(np.int32)), "present": pa.array(present(one, 3))}
             cols |= {n: _text(column(leaves[(*spans, f)], 3)) for n, f in (("trace_id", "traceId"), ("span_id", "spanId"), ("parent_span_id", "parentSpanId"), ("start_time_unix_nano", "startTimeUnixNano"))}
-            cols["scope_name"] = pa.array(names[of * deep + s], pa.string())
+            # places are in the order of the records, so each span's scope and resource are found among theirs by search
+            cols["scope_name"] = pa.array(_looked_up((srec, sr, ss), column(scope, 2).to_numpy(zero_copy_only=False), (record, r, s)), pa.string())
             for n, k in wanted.items():
-                found = np.full(batch.num_rows * width, None, object)
-                hit = np.flatnonzero((keys == k) & (texts != None))[::-1]  # noqa: E711 - elementwise
-                found[(arec * width + ar)[hit]] = texts[hit]
-                cols[n] = pa.array(found[of], pa.string())
+                hit = np.flatnonzero((keys == k) & (texts != None))  # noqa: E711 - elementwise
+                cols[n] = pa.array(_looked_up((arec[hit], ar[hit]), texts[hit], (record, r)), pa.string())
             yield pa.RecordBatch.from_pydict(cols)
 
     text = ["trace_id", "span_id", "parent_span_id", "start_time_unix_nano", "scope_name", *wanted]
@@ -244,16 +274,21 @@ def span_rows(exports: DataFrame, key: str = "export_id", column_name: str = "re
 def linked_spans(exports: DataFrame) -> DataFrame:
     """Every non-null span entry with its parent's kind of link: root, linked or orphan.
 
-    A parent that is absent, blank or only zeros names none. The parents asked for are first made
-    distinct (a map-side combine, so a hot parent is one row per task), then looked up among the
-    distinct spans; only (trace, span) identifiers are shuffled for that.
+    A parent that is absent, blank or only zeros names none. The records are shredded once, into a table in the
+    shared folder. Parents asked for and spans there meet in one combinable aggregate over identifiers, so a hot
+    parent is one row per task; only parents that are found are joined back.
     """
     from pyspark.sql import functions as F
 
+    from spanloom.session import cut
+
     parent = F.lower(F.trim(F.coalesce("parent_span_id", F.lit(""))))
-    spans = span_rows(exports).where("present").withColumn("_parent", F.when(parent.rlike("^0*$"), "").otherwise(parent)).withColumn("_trace", F.lower(F.trim("trace_id")))
-    there = spans.select("_trace", F.lower(F.trim("span_id")).alias("_parent")).where("_trace is not null and _parent is not null and _parent <> ''").distinct().withColumn("_found", F.lit(True))
-    out = spans.join(there, ["_trace", "_parent"], "left")
+    spans = span_rows(exports).where("present").drop("start_time_unix_nano").withColumn("_parent", F.when(parent.rlike("^0*$"), "").otherwise(parent)).withColumn("_trace", F.lower(F.trim("trace_id")))
+    spans = cut(spans, "spans")
+    asked = spans.select("_trace", "_parent", F.lit(False).alias("there"), F.lit(True).alias("asked"))
+    there = spans.select("_trace", F.lower(F.trim("span_id")).alias("_parent"), F.lit(True), F.lit(False)).toDF(*asked.columns)
+    found = asked.unionByName(there).where("_trace is not null and _parent <> ''").groupBy("_trace", "_parent").agg(F.max("there").alias("there"), F.max("asked").alias("asked")).where("there and asked")
+    out = spans.join(found.select("_trace", "_parent", F.lit(True).alias("_found")), ["_trace", "_parent"], "left")
     return out.select(
         "export_id", "resource_pos", "scope_pos", "span_pos",
         F.coalesce("span_id", F.lit("")).alias("span_id"),

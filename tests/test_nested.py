@@ -66,3 +66,35 @@ def test_every_span_attribute_and_event_comes_out(spark):
     assert N.flat_table(df, "spans").count() == len(spans)
     for table, field in (("span_attributes", "attributes"), ("events", "events")):
         assert N.flat_table(df, table).count() == sum(len(s[field] or []) for s in spans if s)
+
+
+def test_lists_in_attributes_have_their_own_rows(spark):
+    """Every attribute value of the small table is in a table: scalars in theirs, the entries of lists under their place."""
+    df = spark.read.parquet(f"{SMALL}/langchain.parquet")
+    rows = pq.read_table(f"{SMALL}/langchain.parquet").select(["export_id", "resource_spans"]).to_pylist()
+    want = {"array": {}, "kvlist": {}}
+    scalars = 0
+    for e in rows:
+        for i, r in enumerate(e["resource_spans"] or []):
+            for k, a in enumerate(((r or {}).get("resource") or {}).get("attributes") or []):
+                v = (a or {}).get("value") or {}
+                scalars += any(v.get(s) is not None for s in N.SCALARS.values())
+                for kind in want:
+                    for j, x in enumerate((v.get(f"{kind}Value") or {}).get("values") or []):
+                        want[kind][e["export_id"], i, k, j] = x["stringValue"] if kind == "array" else (x["key"], x["value"]["stringValue"])
+    assert want["array"] and want["kvlist"]
+    at = lambda r: (r.export_id, r.resource_pos, r.attribute_pos, r.item_pos)
+    assert {at(r): r.value for r in N.flat_table(df, "resource_attribute_array_items").collect()} == want["array"]
+    assert {at(r): (r.key, r.value) for r in N.flat_table(df, "resource_attribute_kvlist_items").collect()} == want["kvlist"]
+    kinds = {k: n for k, n in N.flat_table(df, "resource_attributes").groupBy("value_kind").count().collect()}
+    assert sum(kinds.get(k, 0) for k in N.SCALARS) == scalars
+    assert kinds["array"] == len({k[:3] for k in want["array"]}) and kinds["kvlist"] == len({k[:3] for k in want["kvlist"]})
+
+
+def test_hot_parent_and_wide_records(spark):
+    """A third of all spans name one parent; one record has many resources, another one scope list of many entries."""
+    rows = [("e1", 1, [{"resource": None, "scopeSpans": [{"scope": {"name": f"s{i}"}, "spans": [span("t", f"x{i}", "hot" if i % 3 else None)]}]} for i in range(300)])]
+    rows += [("e2", 1, [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "svc"}}]}, "scopeSpans": [{"scope": {"name": f"n{i}"}, "spans": [span("t", "hot" if i == 7 else f"y{i}", "none")]} for i in range(300)]}])]
+    got = {r.span_id: r for r in N.linked_spans(exports(spark, rows)).collect()}
+    assert len(got) == 600 and got["x1"].link_kind == "linked" and got["x3"].link_kind == "root" and got["y8"].link_kind == "orphan"
+    assert all(got[f"x{i}"].scope_name == f"s{i}" and got[f"x{i}"].service_name == "" for i in range(300)) and got["y8"].scope_name == "n8" and got["y9"].service_name == "svc"

@@ -89,3 +89,48 @@ def test_store(spark, tmp_path):
     assert S.listed(spark, root, "derived").first().parent == one and two != one
     rec = spark.createDataFrame([("f", 0, "{}")], "file string, pos int, record string")
     assert [r.record for r in S.resolve(rec, spark.createDataFrame([("f", 0), ("f", 1)], "file string, pos int")).orderBy("pos").collect()] == ["{}", None]
+
+
+def test_json_stays_json_and_secrets_go_whole(spark):
+    cases = {
+        '{"a": "x\\n@pytest.mark.y(1)\\n"}': '{"a": "x\\n@pytest.mark.y(1)\\n"}',
+        '{"a": "x\\nbob@corp.de", "n": 1.50}': '{"a": "x\\n[email]", "n": 1.50}',
+        '{"password": "hunter two rest"}': '{"password": "[named_secret]"}',
+        '{"api_key": "sk-aaaaaaaaaaaaaaaaaaaa"}': '{"api_key": "[named_secret]"}',
+        '{"clientSecret": "a \\"b\\" c d",  "keys": ["sk-aaaaaaaaaaaaaaaaaaaa"]}': '{"clientSecret": "[named_secret]",  "keys": ["[api_key]"]}',
+        'x\n{"password": "two words"}\nmail bob@corp.de': 'x\n{"password": "[named_secret]"}\nmail [email]',
+        '{"cut": "x\\nbob@corp.de': '{"cut": "x\\nbob@corp.de',  # no JSON: the letter of an escape isn't taken
+        "to git@github.com, root@localhost, a@b.c.example.org and a@b.123": "to git@github.com, root@localhost, a@b.c.example.org and a@b.123",
+        "password = 'two words' secret: abcd": "password = '[named_secret]' secret: [named_secret]",
+    }
+    for text, want in cases.items():
+        assert R.redacted(text)[0] == want
+        try:
+            json.loads(text)
+        except ValueError:
+            continue
+        json.loads(R.redacted(text)[0])
+    inner = json.dumps({"output.value": json.dumps({"answer": "Contact\nalice.smith@realmail.io"})})
+    assert json.loads(json.loads(R.redacted(inner)[0])["output.value"]) == {"answer": "Contact\n[email]"}
+    deep = "[" * 50_000 + '"bob@corp.de"' + "]" * 50_000
+    assert R.redacted(deep)[0] == deep.replace("bob@corp.de", "[email]")
+    assert R.redacted("Refund alice@realmail.io", R.RULESETS["secrets_only"]) == ("Refund alice@realmail.io", [])
+    key = "-----BEGIN PRIVATE KEY-----\n" + "MIIBVgIBADANBgkq\n" * 8 + "-----END PRIVATE KEY-----"
+    assert R.redacted(f"{key}\nfiller\ncontact alice@realmail.io\n")[1] == [(1, "private_key"), (12, "email")]
+
+
+def test_long_dotted_run_is_fast():
+    import time
+
+    began = time.monotonic()
+    R.redacted("a" + ".a" * 40_000 + "@" + "b" * 200 + "\n")
+    assert time.monotonic() - began < 2
+
+
+def test_leaks_of_one_task_with_many_files(spark):
+    text = "the quick brown fox jumps over the lazy dog while nobody is looking at all, which is why it goes on for some more time, number "
+    files = spark.createDataFrame([("t", f"f{i}", f"{text} {i * 7919 % 1000} end") for i in range(300)] + [("t", "empty", ""), ("t", "none", None)], "task_id string, path string, content string")
+    hidden = spark.createDataFrame([("t", f"h{i}", f"{1000 + i}", False) for i in range(300)] + [("t", "whole", "xx " + text, True), ("t", "null", None, None)], "task_id string, name string, value string, is_file boolean")
+    got = R.leaks(files, hidden).groupBy("rule").count().collect()
+    assert {r["rule"]: r["count"] for r in got} == {"verbatim_run": 300}
+    assert "NestedLoop" not in R.leaks(files, hidden)._jdf.queryExecution().executedPlan().toString()

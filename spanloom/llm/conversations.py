@@ -4,17 +4,20 @@ Channels that interleave in a session are disentangled: for each message all ear
 session are its candidate parents, scored by time, mention and lexical overlap; the likeliest becomes
 the parent, and the links form trees. Only what can't win is left out: without a shared word the last
 message of its channel and speaker scores best of these, and of those with shared words the ones whose
-time costs more than a full overlap gains. A session's defect, if any, is read off its tool ids and
-the order of its turns, not off the links.
+time costs more than a full overlap gains. Tool ids are tied call by call. A session's defect, if any,
+is read off the links: results and calls without their tie, the speaker of the first root, and whether
+the last user-side message has an assistant's message linked under it; only where it has none, an exact
+look at the order of turns follows.
 
-Rows are first reduced to distinct messages, then ordered by instant; at equal instants a user's text
+Rows are first reduced to distinct messages with content, then ordered by instant; at equal instants a user's text
 comes first, then the assistant, then results, then the smaller record_id. Times that can't be read
 count as the time of loading. No window ever spans an unbounded group: sessions of more than BLOCK
 messages are cut into blocks by quantiles of their times, and what a block needs of those before it is
 carried by one summary row per block; shared words are looked up in the blocks within reach only.
 
 Rows without session_id belong to no conversation. Rows of type system or summary don't count. null
-or unreadable messages have no content. Empty tables give no rows.
+or unreadable messages have no content. Empty tables give no rows. Texts stay out of every shuffle but the
+last: what is linked are ids, times, flags and hashes of words.
 """
 
 from __future__ import annotations
@@ -44,16 +47,28 @@ def messages(log: DataFrame) -> DataFrame:
     of = lambda c: F.when(c.isin(*USER), "user").when(c.isin(*ASSISTANT), "assistant")
     ids = lambda t, key: F.array_distinct(F.filter(F.transform(F.filter("_blocks", lambda b: b["type"] == t), lambda b: F.coalesce(b[key], F.lit(""))), lambda i: F.lit(True)))
     none = F.array().cast("array<string>")
-    plain_text = F.when(F.col("_blocks").isNull(), get("$.content")).otherwise(F.array_join(F.transform(F.filter("_blocks", lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n"))
     x = x.select(
         "session_id", "record_id", F.coalesce("at", F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(0)).alias("at"),
         (~F.coalesce(kind, F.lit("")).isin("system", "summary")).alias("counts"), F.coalesce(of(role), of(kind)).alias("speaker"), F.coalesce("is_sidechain", F.lit(False)).alias("side"),
-        F.coalesce(plain_text, F.lit("")).alias("text"), F.coalesce(ids("tool_use", "id"), none).alias("calls"), F.coalesce(ids("tool_result", "tool_use_id"), none).alias("results"),
+        _text(F.col("_v")).alias("text"), F.coalesce(ids("tool_use", "id"), none).alias("calls"), F.coalesce(ids("tool_result", "tool_use_id"), none).alias("results"),
         F.coalesce(F.exists("_blocks", lambda b: b["type"] == "image"), F.lit(False)).alias("image"),
         F.md5(F.regexp_replace(F.coalesce("message", F.lit("")), r"\s+", "")).alias("digest"),
     )
     said = ~F.regexp_replace("text", r"[\s​‌‍⁠﻿ ]+", "").eqNullSafe("")
-    return x.withColumn("content", said | F.col("image") | (F.size("calls") > 0) | (F.size("results") > 0))
+    words = F.array_distinct(F.transform(F.filter(F.split(plain(F.col("text")), " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return x.withColumn("content", said | F.col("image") | (F.size("calls") > 0) | (F.size("results") > 0)).withColumn("words", words)
+
+
+def texts(log: DataFrame) -> DataFrame:
+    """(record_id, text) of each row."""
+    return log.select("record_id", _text(F.try_parse_json("message")).alias("text"))
+
+
+def _text(v: Column) -> Column:
+    """A message's text, or the texts of its blocks, a line each."""
+    blocks = F.try_variant_get(v, "$.content", "array<struct<type: string, text: string>>")
+    said = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
+    return F.coalesce(F.when(blocks.isNull(), F.try_variant_get(v, "$.content", "string")).otherwise(said), F.lit(""))
 
 
 def distinct_messages(m: DataFrame) -> DataFrame:
@@ -139,72 +154,83 @@ def alike(x: DataFrame) -> DataFrame:
     return both.groupBy("session_id", "record_id").agg(F.max(_option(score, F.col("parent_id"), F.col("reply"))).alias("shared"))
 
 
+def ties(x: DataFrame) -> DataFrame:
+    """(session_id, tool_id, call, result): each tool id with the first message that calls it and the first that has its result, null where there is none."""
+    calls = x.select("session_id", F.explode("calls").alias("tool_id"), "key").groupBy("session_id", "tool_id").agg(F.min("key").alias("call"))
+    results = x.select("session_id", F.explode("results").alias("tool_id"), "record_id").groupBy("session_id", "tool_id").agg(F.min("record_id").alias("result"))
+    return calls.join(results, ["session_id", "tool_id"], "full")
+
+
 def matched(log: DataFrame) -> DataFrame:
-    """Distinct messages with words, block, cuts, caller (the first call its results name), unresolved and unanswered.
+    """Distinct messages with content, with block, cuts, caller (the first call its results name), unresolved and unanswered.
 
-    unresolved counts results whose call is nowhere in the session, unanswered calls whose result is nowhere.
+    unresolved counts results tied to no call of the session, unanswered calls tied to no result.
     """
-    x = distinct_messages(messages(log).where("counts"))
-    x = x.withColumn("words", F.array_distinct(F.transform(F.filter(F.split(plain(F.col("text")), " "), lambda w: w != ""), lambda w: F.xxhash64(w))))
-    x = with_blocks(cut(x, "messages"))
-    calls = x.select("session_id", F.explode("calls").alias("tool_id"), "key").groupBy("session_id", "tool_id").agg(F.min("key").alias("call"))
-    results = x.select("session_id", F.explode("results").alias("tool_id"), "record_id").groupBy("session_id", "tool_id").agg(F.min("record_id").alias("result"))
-    met = calls.join(results, ["session_id", "tool_id"], "full")
-    answered = x.select("session_id", "record_id", F.explode("results").alias("tool_id")).join(met, ["session_id", "tool_id"]).groupBy("session_id", "record_id").agg(F.sum(F.col("call").isNull().cast("int")).alias("unresolved"), F.min("call").alias("caller"))
-    open_calls = met.where("call is not null and result is null").groupBy("session_id", F.col("call.record_id").alias("record_id")).agg(F.count(F.lit(1)).cast("int").alias("unanswered"))
+    x = with_blocks(cut(distinct_messages(messages(log).where("counts").drop("text")).where("content"), "messages"))
+    tied = ties(x)
+    answered = x.select("session_id", "record_id", F.explode("results").alias("tool_id")).join(tied, ["session_id", "tool_id"]).groupBy("session_id", "record_id").agg(F.sum(F.col("call").isNull().cast("int")).alias("unresolved"), F.min("call").alias("caller"))
+    open_calls = tied.where("call is not null and result is null").groupBy("session_id", F.col("call.record_id").alias("record_id")).agg(F.count(F.lit(1)).cast("int").alias("unanswered"))
     x = x.join(answered, ["session_id", "record_id"], "left").join(open_calls, ["session_id", "record_id"], "left")
     return x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("unresolved", "unanswered")})
 
 
 def links(log: DataFrame) -> DataFrame:
-    """Distinct messages, each with its likeliest parent.
+    """Distinct messages with content, each with its likeliest parent.
 
-    (session_id, pos, record_id, at, speaker, side, content, text, calls, results, parent_id, link_kind,
-    score, unresolved, unanswered), the last two as in matched(). Of equal scores the larger record_id is taken.
+    (session_id, pos, record_id, at, key, speaker, side, calls, results, parent_id, link_kind, score, unresolved,
+    unanswered), the last two as in matched(). Of equal scores the larger record_id is taken.
     """
     # a parent always comes before its child, so links can't close a circle
     mention = F.when(F.col("caller") < F.col("key"), F.struct(F.lit(MENTION).alias("score"), F.col("caller.record_id").alias("parent_id"), F.lit("mention").alias("link_kind")))
     y = cut(candidates(matched(log)).withColumn("mention", mention), "recent")  # read three times
-    y = y.join(alike(y), ["session_id", "record_id"], "left")
-    return y.withColumn("best", F.array_max(F.array_compact(F.array("mention", "recent", "shared")))).select(
-        "session_id", "pos", "record_id", "at", "key", "speaker", "side", "content", "text", "calls", "results", "best.parent_id", F.coalesce("best.link_kind", F.lit("root")).alias("link_kind"), "best.score",
+    best = F.array_max(F.array_compact(F.array("mention", "recent", "shared")))
+    return y.join(alike(y), ["session_id", "record_id"], "left").withColumn("best", best).select(
+        "session_id", "pos", "record_id", "at", "key", "speaker", "side", "calls", "results", "best.parent_id", F.coalesce("best.link_kind", F.lit("root")).alias("link_kind"), "best.score",
         "unresolved", "unanswered",
     )
 
 
 def defects(log: DataFrame, linked: DataFrame) -> DataFrame:
-    """(session_id, defect): the first that fits of empty, broken, no_reply. One combinable aggregate per session."""
-    c = linked.where("content")
+    """(session_id, defect): the first that fits of empty, broken, no_reply, read off the links. One combinable aggregate per session."""
+    told = linked.where("speaker = 'assistant' and parent_id is not null").select("session_id", F.col("parent_id").alias("record_id")).distinct().withColumn("replied", F.lit(True))
     user_side = (F.col("speaker") == "user") | (F.size("results") > 0)
-    per = c.groupBy("session_id").agg(
+    per = linked.join(told, ["session_id", "record_id"], "left").groupBy("session_id").agg(
         F.sum(F.col("unresolved") + F.col("unanswered") + F.col("speaker").isNull().cast("int")).alias("bad"),
-        F.min_by(F.coalesce("speaker", F.lit("?")), "key").alias("first"),
-        F.max(F.when(user_side, F.col("key"))).alias("asked"),
+        F.min(F.when(F.col("link_kind") == "root", F.struct("key", F.coalesce("speaker", F.lit("?")).alias("speaker")))).alias("root"),
+        F.max(F.when(user_side, F.struct("key", F.coalesce("replied", F.lit(False)).alias("replied")))).alias("asked"),
         F.max(F.when(F.col("speaker") == "assistant", F.col("key"))).alias("told"),
     )
     sessions = log.where("session_id is not null").select("session_id").distinct()
-    defect = (
-        F.when(F.col("first").isNull(), "empty").when((F.col("bad") > 0) | (F.col("first") != "user"), "broken").when(F.col("told").isNull() | (F.col("told") < F.col("asked")), "no_reply")
-    )
+    # a message nobody is linked under may still be followed by an answer that was linked elsewhere
+    unanswered = ~F.col("asked.replied") & F.coalesce(F.col("told") < F.col("asked.key"), F.lit(True))
+    defect = F.when(F.col("root").isNull(), "empty").when((F.col("bad") > 0) | (F.col("root.speaker") != "user"), "broken").when(F.coalesce(unanswered, F.col("told").isNull()), "no_reply")
     return sessions.join(per, "session_id", "left").select("session_id", defect.alias("defect")).where("defect is not null")
 
 
 def found(log: DataFrame) -> DataFrame:
-    return defects(log, matched(log))
+    return defects(log, cut(links(log), "links"))
 
 
 def threads(linked: DataFrame) -> DataFrame:
-    """(session_id, record_id, root_id): the tree of each message, by pointer doubling over the links."""
-    up = cut(linked.select("session_id", "record_id", F.coalesce("parent_id", "record_id").alias("root_id"), F.col("parent_id").isNull().alias("done")), "threads")
-    while not up.where("not done").isEmpty():
-        above = up.select("session_id", F.col("record_id").alias("root_id"), F.col("root_id").alias("_next"), F.col("done").alias("_done"))
-        up = cut(up.join(above, ["session_id", "root_id"]).select("session_id", "record_id", F.col("_next").alias("root_id"), (F.col("done") | F.col("_done")).alias("done")), "threads")
-    return up.drop("done")
+    """(session_id, record_id, root_id): the tree of each message, by pointer doubling over the links.
+
+    A round looks up the distinct messages that are pointed at, and only rows that have not reached their root take
+    part in it; those that have are left where they were written.
+    """
+    start = linked.select("session_id", "record_id", F.coalesce("parent_id", "record_id").alias("root_id"), F.col("parent_id").isNull().alias("done"))
+    up = cut(start, "threads")
+    whole, moving = up.where("done"), up.where("not done")
+    while not moving.isEmpty():
+        asked = moving.select("session_id", "root_id").distinct()
+        above = whole.unionByName(moving).select("session_id", F.col("record_id").alias("root_id"), F.col("root_id").alias("_next"), F.col("done").alias("_done"))
+        above = above.join(asked, ["session_id", "root_id"], "left_semi")
+        step = cut(moving.join(above, ["session_id", "root_id"]).select("session_id", "record_id", F.col("_next").alias("root_id"), F.col("_done").alias("done")), "threads")
+        whole, moving = whole.unionByName(step.where("done")), step.where("not done")
+    return whole.drop("done")
 
 
 def conversations(log: DataFrame) -> DataFrame:
     """The messages with content of usable sessions, in order, each with speaker, parent and thread."""
     linked = cut(links(log), "links")
-    bad = defects(log, linked)
-    keep = linked.where("content").join(bad, "session_id", "left_anti")
-    return keep.join(threads(linked), ["session_id", "record_id"]).select("session_id", "pos", "record_id", F.col("at").alias("utc_us"), "speaker", "side", "text", "calls", "results", "parent_id", "link_kind", F.round("score", 6).alias("score"), "root_id")
+    keep = linked.join(defects(log, linked), "session_id", "left_anti").join(threads(linked), ["session_id", "record_id"]).join(texts(log), "record_id")
+    return keep.select("session_id", "pos", "record_id", F.col("at").alias("utc_us"), "speaker", "side", "text", "calls", "results", "parent_id", "link_kind", F.round("score", 6).alias("score"), "root_id")

@@ -37,7 +37,7 @@ def test_links_are_the_best_of_all_earlier_messages(spark, monkeypatch, block):
     rows = [row(i, f"s{i % 2}", 0 if i == 1 else round(math.exp(r.uniform(0, 9)), 2), r.choice(["user", "assistant", "odd"]), " ".join(r.sample(vocabulary, r.randint(0, 4))) + "!" * i, side=r.random() < 0.4) for i in range(140)]
     monkeypatch.setattr(C, "BLOCK", block)
     got = linked(spark, rows)
-    text = {i: set(re.findall(r"\w+", g.text)) for i, g in got.items()}
+    text = {r.record_id: set(re.findall(r"\w+", r.text)) for r in C.texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     old = 0
     for i, g in got.items():
         earlier = [p for p in got.values() if p.session_id == g.session_id and p.key < g.key]

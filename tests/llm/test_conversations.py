@@ -76,3 +76,21 @@ def test_unreadable_times_and_empty_table(spark):
     rows = [row(1, "s", 0, "user", "q", ts="soon"), row(2, "s", 1, "assistant", "a", ts=None)]
     assert defects(spark, rows) == {}
     assert defects(spark, []) == {} and C.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_defects_come_from_the_links(spark, monkeypatch):
+    """Without ties every result stands alone; without parents every message is a root, and a plain answer is no reply to anything."""
+    rows = [r for r in ROWS if r[2] in ("good", "image")]
+    assert defects(spark, rows) == {}
+    ties = C.ties
+    monkeypatch.setattr(C, "ties", lambda x: ties(x).withColumn("call", C.F.when(C.F.lit(False), C.F.col("call"))))
+    assert defects(spark, rows) == {"good": "broken"}
+    monkeypatch.setattr(C, "ties", ties)
+    plan = C.defects(spark.createDataFrame(rows, SCHEMA), C.links(spark.createDataFrame(rows, SCHEMA)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "link_kind" in plan and "parent_id" in plan and "shared" in plan  # the scored links are read
+
+
+def test_parents_are_messages_that_come_out(spark):
+    rows = [row(1, "s", 0, "user", " "), row(2, "s", 1, "user", "hello"), row(3, "s", 2, "assistant", ""), row(4, "s", 3, "assistant", "hi")]
+    x = {r.record_id: (r.parent_id, r.root_id, r.text) for r in C.conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert x == {2: (None, 2, "hello"), 4: (2, 2, "hi")}

@@ -58,11 +58,11 @@ class Trees:
         return 1 / (1 + np.exp(-raw))
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the highest F1 on held-out rows, in the middle of the gap it lies in."""
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: float = 1.0) -> float:
+    """The cut with the highest F on held-out rows, in the middle of the gap it lies in. weight: how much recall counts against precision."""
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(p) + 1) + max(1, y.sum()))
-    k = int(np.argmax(f1))
+    f = (1 + weight**2) * hit / (np.arange(1, len(p) + 1) + weight**2 * max(1, y.sum()))
+    k = int(np.argmax(f))
     low = p[order[k + 1]] if k + 1 < len(p) else 0.0
     return float(np.clip((p[order[k]] + low) / 2, 0.05, 0.95))

@@ -7,7 +7,11 @@ placeholders like <PERSON>; the rest of the text stays as it is.
 
 The trees are fitted once per driver process on a bounded number of made-up samples (SAMPLES) and
 broadcast. The data is read in one pass, Arrow batch by Arrow batch, without a shuffle. Values that
-are JSON, also JSON inside a string, are opened, their texts handled each for itself, and put back.
+are JSON, also JSON inside a string, are opened token by token (so no depth is too deep), their texts,
+whole numbers and object keys looked at each for itself, and what was found is written back in its
+place: a text without a detail stays byte for byte. Of a session message's blocks the ids, types and
+model, and the source of an image, are no text; everything else is, tool input too. found() and
+redact() look at the same texts, so a row has a type exactly if its redacted text has that placeholder.
 
 null and empty texts have nothing in them; unreadable attributes or messages have no text. Repeated
 rows each get their own result. Empty tables give no rows.
@@ -31,6 +35,7 @@ from spanloom.llm.words import FUNCTION_WORDS
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "PERSON")
 SAMPLES = 12_000  # made-up texts: two thirds to fit on, one third to calibrate the thresholds
+RECALL = 2.0  # a detail left standing is worse than a word too many replaced
 MAX_JSON = 8  # levels of JSON inside JSON strings that are opened
 
 _U, _L = "[A-ZÀ-ÖØ-ÞĄĆČĎĘĚŁŃŇŘŚŠŤŮŹŻŽŐŰİŞĞА-ЯЁ]", r"[^\W\d_]"
@@ -45,7 +50,7 @@ AROUND = {
     "phone": "call called phone tel telephone number ring callback mobile fax unter anrufen rappeler llame reach ext telefon al au voicemail cell whatsapp handy teléfono móvil",
     "id": "ssn tax id passport dni nie national identity papers document identification social security steuer-id ausweis ausgewiesen identificó document personal against licence license card nummer nif curp bsn cpf",
     "code": "order invoice checksum build version trace host step ticket range took total batch serial commit parcel port section code rule record page ms run release file line row rows step zone week quarter item job hash span req tracking sku model chapter policy",
-    "name": "by with for from contact owner reach spoke signed message assigned approved customer mr von bei chez à a rappeler llame entregar refund goes account holder bitte avise de prévenir por opened abrió par gemeldet said was is informieren beantwortet file talked lo livrer name to",
+    "name": "by with for from contact owner reach spoke signed message assigned approved customer mr von bei chez à a rappeler llame entregar refund goes account holder bitte avise de prévenir por opened abrió par gemeldet said was is informieren beantwortet file talked lo livrer name to call ask tell notify ping meet met thank thanks told asked gave inform invite visit rufen ruf frage fragen danke contactez demandez appelez llamen pregunte gracias merci bel vraag",
     "does": "moved lives called who asked asks gave showed shows will has had said signed against today hat a se firmó goes identificó présenté sich us opened left went and wohnhaft am au al unter en wrote is was confirmed bat zeigte présente envoya mostró pidió",
     "place": "address anschrift adresse dirección wohnhaft lives moved ship parcel livrer entregar keys at delivered returned from came back en chez unit residence domicilio domicile wohnt to",
 }
@@ -71,8 +76,18 @@ STREETS = [
     re.compile(rf"(?<![\w.-])\d{{1,4}}(?: bis| ter)?,? {STREET_FR}\b(?: (?:de la|de l'|du|des|de|d'|la|le|les))? ?{_L}+(?:[ -]{_L}+){{0,3}}?(?:,{PLACE}|(?=[.;\n]|$))"),
     re.compile(rf"\b{STREET_ES} (?:(?:del?|las?|los|el|da|do|das|dos) ?)*{_CAP}(?: (?:de |del |la |las |los )*{_CAP}){{0,2}},? \d{{1,4}}(?:,? ?\d{{1,2}}\.?[ºª](?: ?[A-Z]\b)?)?,?{PLACE}"),
 ]
-_NAME = rf"(?:{_U}\.|{_CAP}\.?)"
-CAPS = re.compile(rf"{_U}[\w'’.-]*(?:,? {_U}[\w'’.-]*)*")
+# Words inside names, and words right before a given name that stands alone.
+PARTICLES = frozenset("bin da de del della di dos du la le ten ter van von der".split())
+GREETINGS = frozenset("dear hi hello hey hallo liebe lieber moin bonjour cher chère salut hola querido querida estimado estimada olá oi caro cara beste привет здравствуйте is heiße heisse appelle llamo chamo heet зовут".split())
+NOBODY = frozenset("all alle all's world everyone everybody there zusammen team tous toutes todos todas allemaal sir madam madame monsieur customer kunde client cliente".split())
+CALENDAR = frozenset(
+    "monday tuesday wednesday thursday friday saturday sunday january february april june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember"
+    " lundi mardi mercredi jeudi vendredi samedi dimanche janvier février mars avril juin juillet août septembre octobre novembre décembre lunes martes miércoles jueves viernes sábado domingo enero febrero marzo abril mayo junio julio septiembre octubre noviembre diciembre".split()
+)
+NAME_WORDS = 6  # no longer run of words is taken for one name; longer ones are proposed in parts that overlap
+_INSIDE = "|".join(sorted(PARTICLES - {"der"})) + "|(?<=v[ao]n )der"  # der alone is an article
+CAPS = re.compile(rf"{_U}[\w'’.-]*(?:,? (?:(?:{_INSIDE}) ){{0,2}}{_U}[\w'’.-]*)*")
+ALONE = re.compile(rf"(?<![\w])({'|'.join(sorted(GREETINGS))})[ ,:]{{1,2}}({_CAP})(?!\w)")
 _TOKEN = re.compile(r"[\w'’-]+")
 
 
@@ -83,7 +98,7 @@ def _around(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
     return before, after
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
+def candidates(text: str, key: str = "") -> list[tuple[str, int, int]]:
     """Overlapping spans that may be details, as (type, start, end)."""
     out: list[tuple[str, int, int]] = []
     if "@" in text or "at)" in text or "at]" in text:
@@ -109,23 +124,38 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 out.append(("ADDRESS", m.start(), m.end()))
     for m in CAPS.finditer(text):
         if " " not in m.group():
+            # a single word may be a name as the whole value of a key that says so
+            if len(m.group()) == len(text.strip()) > 2 and KEYS["PERSON"].search(key) and m.group().isalpha():
+                out.append(("PERSON", m.start(), m.end()))
             continue
         words = [(w.group(), m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"\S+", m.group())]
         for i in range(len(words)):
-            for k in (2, 3, 4):
+            if words[i][0] in PARTICLES or words[i][0].lower() in GREETINGS:
+                continue
+            for k in range(2, NAME_WORDS + 1):
                 if i + k > len(words):
                     break
                 part = words[i : i + k]
+                if part[-1][0] in PARTICLES:
+                    continue
                 inner = [w.rstrip(",") for w, _, _ in part]
                 # sentence ends inside a name only after initials and titles; commas only in "Last, First"
                 if any(w.endswith(".") and len(w) > 2 and w[:-1].lower() not in TITLES for w in inner[:-1]) or any(w.endswith(",") for w, _, _ in part[1:-1]) or (part[0][0].endswith(",") and k > 3):
                     break
                 if any(c.isdigit() or c == "_" for w in inner for c in w):
                     break
+                if any(w.lower() in CALENDAR for w in inner):
+                    break
                 last = part[-1][0].rstrip(".,")
                 if len(last) < 2 or (inner[0].rstrip(".").lower() in STOP and not (len(inner[0]) == 2 and inner[0][1] == ".")):
                     continue
                 out.append(("PERSON", part[0][1], part[-1][1] + len(last)))
+    if not text.islower():
+        low = text.lower()
+        if any(g in low for g in GREETINGS):
+            for m in ALONE.finditer(text if text.isupper() else text[:1].lower() + re.sub(r"(?<=[.!?\n] )\w", lambda x: x.group().lower(), text[1:])):
+                if m.group(2).lower() not in NOBODY | STOP | THINGS:
+                    out.append(("PERSON", m.start(2), m.end(2)))
     return out
 
 
@@ -153,6 +183,8 @@ def features(text: str, key: str, kind: str, a: int, b: int) -> list[float]:
         float(any(w in STOP or (i and w in TITLES) for i, w in enumerate(words)) if name else 0), float(a == 0 or text[:a].rstrip()[-1:] in ("", ".", "!", "?", "\n", ":")), float(len(s) >= len(text.strip()) - 1), float(bool(KEYS[kind].search(key))), float(bool(re.search(r"(?<!\d)\d{5}(?!\d)", s))),
         float(shape in ("3-2-4", "8", "7", "11", "2-3-3-3")), float(shape in ("3-3-4", "1-3-3-4", "10", "5-3-3", "2-4-6", "4-6", "3-8", "2-2-5-3", "4-2-5-3", "2-2-2-2-2", "2-1-2-2-2-2", "11", "7-4")), float(bool(re.match(r"(?:19|20)\d\d[-/.]?\d\d[-/.]?\d\d", s))),
         float(tail.isalnum() or head.isalnum()), float(bool(re.search(r"\.[A-Za-z]{2,}$", s))) if kind == "EMAIL" else 0.0, float(any(w in AROUND["code"] or w in AROUND["phone"] or w in AROUND["id"] for w in words) if name else 0), float(name and any(w in THINGS for w in words)), float(name and sum(c.isupper() for c in text) > 0.5 * sum(c.isalpha() for c in text) and len(text) > 3 * len(s)), float(tail in (")", ">", "]", '"')), float(bool(after) and after[0] in AROUND["code"]),
+        float(name and len(tokens) == 1 and bool(before) and before[-1] in GREETINGS), float(sum(w in PARTICLES for w in tokens) if name else 0),
+        float(name and sum(c.isdigit() for c in text[b : b + 26]) > 5), float(name and "@" in text[b : b + 44]), float(name and sum(c.isdigit() for c in text[max(0, a - 20) : a]) > 5),
     ]
 
 
@@ -173,7 +205,7 @@ class Detector:
 
     def spans(self, texts: list[str], keys: list[str]) -> list[list[tuple[str, int, int]]]:
         """The details of each text. Features of all candidates are scored together."""
-        per = [candidates(t) if t else [] for t in texts]
+        per = [candidates(t, k) if t else [] for t, k in zip(texts, keys)]
         rows = [features(t, k, *c) for t, k, cs in zip(texts, keys, per) for c in cs]
         p = self.trees.predict(np.array(rows)) if rows else np.zeros(0)
         out, at = [], 0
@@ -189,62 +221,101 @@ def trained(samples: int = SAMPLES, seed: int = 7) -> Detector:
     maker, x, y, held = Maker(seed), [], [], []
     for n in range(samples):
         text, key, truth = maker.sample()
-        for kind, a, b in candidates(text):
+        for kind, a, b in candidates(text, key):
             right = any(k == kind and max(0, min(b, e) - max(a, s)) >= (0.5 if k == "ADDRESS" else 0.8) * max(b - a, e - s) for k, s, e in truth)
             x.append(features(text, key, kind, a, b))
             y.append(right)
             held.append(n % 3 == 2)
     x, y, held = np.array(x), np.array(y, float), np.array(held)
-    trees = Trees().fit(x[~held], y[~held])
+    trees = Trees(rounds=100).fit(x[~held], y[~held])
     p, thresholds = trees.predict(x[held]), {}
     for i, t in enumerate(TYPES):
         of = x[held][:, i] == 1
-        thresholds[t] = best_threshold(p[of], y[held][of]) if of.any() else 0.5
+        thresholds[t] = best_threshold(p[of], y[held][of], RECALL) if of.any() else 0.5
     return Detector(trees, thresholds)
 
 
-def _opened(value: str, level: int = 0):
-    """The JSON inside a string, if it is an object or list; else None."""
-    s = value.lstrip()
-    if level < MAX_JSON and s[:1] in ("{", "["):
-        try:
-            o = json.loads(value)
-        except ValueError:
-            return None
-        return o if isinstance(o, (dict, list)) else None
-    return None
-
-
-def leaves(value, key: str = "", level: int = 0) -> Iterator[tuple[str, str]]:
-    """(text, key) of every text in a value, JSON inside strings opened."""
-    if isinstance(value, str):
-        o = _opened(value, level)
-        if o is None:
-            yield value, key
-        else:
-            yield from leaves(o, key, level + 1)
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            yield from leaves(v, k, level)
-    elif isinstance(value, list):
-        for v in value:
-            yield from leaves(v, key, level)
-    elif isinstance(value, int) and not isinstance(value, bool):
-        yield str(value), key
-
-
-def _rebuilt(value, new: Iterator[str], level: int = 0):
-    if isinstance(value, str):
-        o = _opened(value, level)
-        return next(new) if o is None else json.dumps(_rebuilt(o, new, level + 1), ensure_ascii=False)
-    if isinstance(value, dict):
-        return {k: _rebuilt(v, new, level) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_rebuilt(v, new, level) for v in value]
-    if isinstance(value, int) and not isinstance(value, bool):
-        text = next(new)
-        return value if text == str(value) else text
-    return value
+_TOKEN_OF_JSON = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],]|-?\d[^\s,\]}]*')
+_COLON = re.compile(r"\s*:")
+#: Keys of a session message's blocks that are no text.
+SKIP = frozenset(("type", "id", "tool_use_id", "source", "role", "model"))
+
+
+def _is_json(text: str) -> bool:
+    """Whether a text is a JSON object or list."""
+    if text.lstrip()[:1] not in ("{", "["):
+        return False
+    try:
+        json.loads(text)
+    except RecursionError:  # too deep for the parser; its tokens can be told all the same
+        return text.rstrip()[-1:] in ("}", "]")
+    except ValueError:
+        return False
+    return True
+
+
+def opened(text: str, key: str, leaves: list[tuple[str, str]], blocks: bool = False, level: int = 0):
+    """The texts of a value go to leaves, as (text, key it stands under).
+
+    Returns the leaf's number if the text is one, else (start, end, quoted, what) of every literal in it that
+    is looked at, where what is what this function returns for its content. blocks: a list of message blocks.
+    """
+    if level >= MAX_JSON or not _is_json(text):
+        leaves.append((text, key))
+        return len(leaves) - 1
+    out, keys, last = [], [], ""
+    for m in _TOKEN_OF_JSON.finditer(text):
+        c = text[m.start()]
+        if c in "{[":
+            keys.append(last)
+        elif c in "}]":
+            last = keys.pop() if keys else ""
+        elif c == ",":
+            last = keys[-1] if keys and not (blocks and len(keys) == 2) else ""
+        elif c == '"':
+            body = m.group()
+            value = json.loads(body) if "\\" in body else body[1:-1]
+            if _COLON.match(text, m.end()):
+                last = value
+                # keys of objects deeper than the blocks themselves are data
+                if not (blocks and len(keys) <= 2) and not _plain_key(value):
+                    leaves.append((value, ""))
+                    out.append((m.start(), m.end(), True, len(leaves) - 1))
+            elif value and not _skipped(blocks, keys, last):
+                out.append((m.start(), m.end(), True, opened(value, last, leaves, False, level + 1)))
+        elif m.group().lstrip("-").isdigit() and not _skipped(blocks, keys, last):
+            leaves.append((m.group(), last))
+            out.append((m.start(), m.end(), False, len(leaves) - 1))
+    return out
+
+
+def _plain_key(name: str) -> bool:
+    """Keys that can't be a detail: short words of letters and signs."""
+    return len(name) < 5 or (name.isascii() and name.replace("_", "").replace(".", "").replace("-", "").isalpha())
+
+
+def _skipped(blocks: bool, keys: list[str], last: str) -> bool:
+    """Inside a part of a block that is no text: keys has the key each open object or list stands under."""
+    return blocks and ((len(keys) == 2 and last in SKIP) or (len(keys) > 2 and keys[2] in SKIP))
+
+
+def spliced(text: str, what, new: list[str]) -> str:
+    """The text with new texts in the places of its leaves."""
+    if isinstance(what, int):
+        return new[what]
+    out, at, used = [], 0, set()
+    for a, b, quoted, inner in what:
+        literal = text[a:b]
+        old = (json.loads(literal) if "\\" in literal else literal[1:-1]) if quoted else literal
+        put = spliced(old, inner, new)
+        if put != old:
+            if _COLON.match(text, b):  # two keys must not become one
+                n = sum(u.rstrip("0123456789 ") == put for u in used)
+                put = f"{put} {n + 1}" if n else put
+                used.add(put)
+            out += (text[at:a], json.dumps(put, ensure_ascii=False))
+            at = b
+    return "".join([*out, text[at:]])
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -256,55 +327,39 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def texts(traces: DataFrame, log: DataFrame) -> DataFrame:
-    """(src, row_id, text): completions and tool results of traces, and the texts of session messages.
+    """(src, row_id, text, blocks): completions and tool results of traces, and the contents of session messages.
 
-    A message's texts (text blocks and results) are one JSON list, so that they stay apart.
+    A string comes as it is, any other JSON value as Spark writes it. blocks: the text is a message's list of blocks.
     """
     v = F.try_parse_json("attributes")
     get = lambda path: F.try_variant_get("_v", path, "string")
     a = traces.select("delivery_id", v.alias("_v")).select("delivery_id", F.explode(F.array(F.struct(F.lit("traces.completion").alias("src"), get("$['gen_ai.completion']").alias("text")), F.struct(F.lit("traces.result").alias("src"), get("$['gen_ai.tool.call.result']").alias("text")))).alias("x"))
-    a = a.select("x.src", F.col("delivery_id").alias("row_id"), "x.text")
-    b = log.select("record_id", F.try_parse_json("message").alias("_v")).select(F.lit("session_log.text").alias("src"), F.col("record_id").alias("row_id"), get("$.content").alias("text"))
+    a = a.select("x.src", F.col("delivery_id").alias("row_id"), "x.text", F.lit(False).alias("blocks"))
+    listed = F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get("_v", "$.content", "variant")), F.lit("ARRAY")), F.lit(False))
+    b = log.select("record_id", F.try_parse_json("message").alias("_v")).select(F.lit("session_log.text").alias("src"), F.col("record_id").alias("row_id"), get("$.content").alias("text"), listed.alias("blocks"))
     return a.unionByName(b).where("text is not null and text <> ''")
 
 
-#: Keys of a message's blocks that are no text.
-SKIP = frozenset(("type", "id", "tool_use_id", "source", "input", "role", "model"))
-
-
-def _message_leaves(value) -> Iterator[tuple[str, str]]:
-    o = _opened(value)
-    if o is None:
-        yield value, "text"
-        return
-    for b in o if isinstance(o, list) else [o]:
-        if isinstance(b, dict):
-            for k, x in b.items():
-                if k not in SKIP:
-                    yield from leaves(x, k, 1)
-        elif isinstance(b, str):
-            yield b, "text"
-
-
 def _mapped(kind: str, detector):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = detector.value
         for b in batches:
-            src, ids, values = (b.column(i).to_pylist() for i in range(3))
-            parts, of = [], []
-            for i, (s, t) in enumerate(zip(src, values)):
-                for x in _message_leaves(t) if s == "session_log.text" and kind == "types" else leaves(t):
-                    parts.append(x)
-                    of.append(i)
-            # ids, types and models of a message's blocks stay as they are
-            looked = ["" if src[i] == "session_log.text" and k in SKIP else t for i, (t, k) in zip(of, parts)]
-            spans = found.spans(looked, [k for _, k in parts])
+            src, ids, values, blocks = (b.column(i).to_pylist() for i in range(4))
+            leaves: list[tuple[str, str]] = []
+            ends, trees = [], []
+            for t, listed in zip(values, blocks):
+                trees.append(opened(t, "text" if listed else "", leaves, listed))
+                ends.append(len(leaves))
+            spans = found.spans([t for t, _ in leaves], [k for _, k in leaves])
             if kind == "types":
-                rows = sorted({(i, c[0]) for i, cs in zip(of, spans) for c in cs})
+                rows, at = [], 0
+                for i, end in enumerate(ends):
+                    rows += [(i, k) for k in sorted({c[0] for cs in spans[at:end] for c in cs})]
+                    at = end
                 yield pa.RecordBatch.from_arrays([pa.array([src[i] for i, _ in rows], pa.string()), pa.array([ids[i] for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.string())], ["src", "row_id", "pii_type"])
             else:
-                new = iter([redacted(t, c) for (t, _), c in zip(parts, spans)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_rebuilt(t, new) for t in values], pa.string())], ["src", "row_id", "text"])
+                new = [redacted(t, c) if c else t for (t, _), c in zip(leaves, spans)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([spliced(t, x, new) for t, x in zip(values, trees)], pa.string())], ["src", "row_id", "text"])
 
     return run
 

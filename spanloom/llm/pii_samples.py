@@ -9,7 +9,7 @@ import random
 
 # Syllables of made-up names, street words and the wording of the samples.
 FIRST = "an bel cor da el fi gre ha il jo ka li mar no ol pe ro sa ti ur va wi xe ya zo".split()
-FIRST_END = "na ra la ne ro to mir lia das sa ko ria nah rik bert".split()
+FIRST_END = " na ra la ne ro to mir lia das sa ko ria nah rik bert".split(" ")
 LAST = "abel brim corr dun ells fair gold hart iver jans kell lang mor nord ost par quin rask sten tor ull vas wes york zell".split()
 LAST_END = "berg man sen ley ton field wood sky ov ini ez er ström ford court ard".split()
 TITLES = ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Herr", "Frau", "M.", "Mme", "Sr.", "Sra.", "Mr", "Ms"]
@@ -26,6 +26,9 @@ AROUND = {
     "ID_NUMBER": ["Identity confirmed with {}.", "The papers show {}.", "{} was checked.", "Ausgewiesen mit {}.", "A présenté le document {}.", "Se identificó con {}.", "Record holds {} on page two.", "Verified against {}."],
     "ADDRESS": ["Ship the parcel to {}.", "Lives at {} since May.", "Moved to {} last week.", "New address: {}.", "Wohnhaft {}.", "Neue Anschrift: {}", "Nouvelle adresse : {}.", "Livrer au {} svp.", "Nueva dirección: {}.", "Entregar en {} hoy.", "Left the keys at {}.", "It came back from {}."],
 }
+GIVEN = [
+    "Dear {GIVEN}, the case is closed.", "Hi {GIVEN}, please try again.", "Hello {GIVEN}, it works now.", "Hallo {GIVEN}, das ist erledigt.", "Liebe {GIVEN}, danke.", "Bonjour {GIVEN}, merci.", "Hola {GIVEN}, gracias.", "My name is {GIVEN} and I wait.", "Ich heiße {GIVEN}.", "Me llamo {GIVEN}.", "Je m'appelle {GIVEN}.",
+]
 MIXED = [
     "Call {PERSON} on {PHONE}.", "Ask {PERSON} ({EMAIL}) for it.", "Bitte {PERSON} unter {PHONE} anrufen.", "Rappeler {PERSON} au {PHONE}.", "Llame a {PERSON} al {PHONE}.", "Write to {PERSON} at {EMAIL} or {PHONE}.", "{PERSON} lives at {ADDRESS}.", "Deliver to {PERSON}, {ADDRESS}.", "{PERSON} showed {ID_NUMBER}.",
     "Holder {PERSON} against {ID_NUMBER}.", "{PERSON}, {ADDRESS}, {PHONE}", "Gemeldet von {PERSON}, wohnhaft {ADDRESS}.", "Livrer chez {PERSON}, {ADDRESS}.", "Entregar a {PERSON} en {ADDRESS}.", "{PERSON} asked us to use {EMAIL}.", "{PERSON} moved to {ADDRESS} in spring.", "New number {PHONE}; the old mailbox {EMAIL} is closed.", "Form lists {ID_NUMBER} and {EMAIL}.",
@@ -38,12 +41,14 @@ FILLER = [
     "Kurz gesagt: Der Sammler wartet.", "Yes. The Archive keeps both copies.", "Red Hat and Open Source are allowed.", "The Data Team owns the Search Tool.", "Python Package Index was down on Monday, Tuesday and Friday.", "Code 2210 at step 14 in zone 9.", "5 rows at 3 Data Street level checks.", "Quarter 3 of 2025, week 41.",
     "Night Desk and Harbour Board are our queues.", "The Relay Team met the Blue Group.", "Open Hub is a tool.", "CHECK WHETHER THE LOADER SKIPS THE EMPTY RESULT.", "TELL ME WHAT FOLLOWS WHEN THE PLANNER OPENS THE REPORT.", "Front Office and Cloud Portal were renamed.", "Neue Anschrift folgt.", "Main Index was rebuilt.",
     "Unfortunately Every Collector waits.", "Done. Every new record counts.", "OK: La Session est close.", "Also In Short: The End.", "Record 20250911 holds 4410223190 bytes.", "Here is Step 2. The Planner stops.", "Sorry for the delay; all rows are in place.", "Parcel 1Z-4482-9917 weighs 2.4 kg.", "Während der Einfuhr wartet das Suchwerkzeug.", "Am Ende des Laufs zählt das Protokoll.", "Nach der Umstellung öffnet die Warteschlange.", "Zum dritten Mal speichert der Ladeschritt.",
+    "Dear Team, the run is done.", "Hello World is printed first.", "Hi All, no change today.", "Hallo Zusammen, es läuft.", "The default is Python here.", "It is English, as asked.", "The state is Open, the next is Closed.", "Dear Customer, your ticket waits.", "The queue is Support now.", "The answer is Yes.", "Bonjour Madame, c'est fait.", "The region is Europe.", "The first day is Monday.", "The model is Orbit.",
 ]
 
 
 class Maker:
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, neutral: float = 0.15):
+        """neutral: the share of sentences whose words don't tell whether a name or a thing's name is in them."""
+        self.r, self.neutral = random.Random(seed), neutral
 
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
@@ -60,7 +65,15 @@ class Maker:
 
     def person(self) -> str:
         f, n, i = self.first(), self.last(), self.r.choice("ABCDEFGHIJKLMNOPRSTUVWXYZ") + "."
-        return self.r.choice([f"{f} {n}", f"{f} {n}", f"{f} {n}", f"{n}, {f}", f"{i} {n}", f"{f} {i} {n}", f"{self.r.choice(TITLES)} {n}", f"{self.r.choice(TITLES)} {f} {n}", f"{f} {n}".upper(), f"{f} {n}-{self.last()}"])
+        return self.r.choice([f"{f} {n}", f"{f} {n}", f"{f} {n}", f"{n}, {f}", f"{i} {n}", f"{f} {i} {n}", f"{self.r.choice(TITLES)} {n}", f"{self.r.choice(TITLES)} {f} {n}", f"{f} {n}".upper(), f"{f} {n}-{self.last()}", *([f"{f} {self.first()} {self.r.choice(['de', 'de la', 'van', 'von', 'van der', 'del', 'da'])} {n}{self.r.choice(['', f' {self.last()}'])}"] if self.r.random() < 0.5 else [])])
+
+    def thing(self) -> str:
+        """What is written like a name and is none."""
+        from spanloom.llm.pii import THINGS
+
+        what = sorted(THINGS)
+        a, b = self.r.choice(what).capitalize(), self.r.choice(what).capitalize()
+        return self.r.choice([f"{self.last()} {a}", f"{self.first()} {a}", f"{a} {b}", f"The {a}", f"{self.r.choice('New Open Main Night Front Red Deep Fast Old Blue North Inner'.split())} {a}"])
 
     def email(self) -> str:
         f, n = self.first().lower(), self.last().lower().replace("ö", "oe")
@@ -106,9 +119,9 @@ class Maker:
                 text += frame[at:i]
                 at = frame.index("}", i) + 1
                 here = frame[i + 1 : at - 1]
-                here = here if here in make else kind
-                value = make[here]()
-                spans.append((here, len(text), len(text) + len(value)))
+                here = here if here in make or here == "GIVEN" else kind
+                value = self.first() if here == "GIVEN" else make[here]()
+                spans.append(("PERSON" if here == "GIVEN" else here, len(text), len(text) + len(value)))
                 text += value
             text += frame[at:]
 
@@ -116,7 +129,7 @@ class Maker:
         if how < 0.12:  # a value of its own, under a telling or a plain key
             kind = self.r.choice(list(make))
             telling = {"PERSON": ["name", "contact", "customer"], "EMAIL": ["email", "contact"], "PHONE": ["phone", "callback"], "ID_NUMBER": ["document", "tax"], "ADDRESS": ["address", "ship_to"]}[kind]
-            put(kind, "{}")
+            put(kind, "{GIVEN}" if kind == "PERSON" and self.r.random() < 0.15 else "{}")
             return text, self.r.choice([*telling, "f1", "f2", "value"]), spans
         if how < 0.2:  # several values in a row
             for k, kind in enumerate(self.r.sample(list(make), self.r.randint(2, 3))):
@@ -127,8 +140,22 @@ class Maker:
         for _ in range(self.r.randint(1, 3)):
             if text:
                 text += self.r.choice([" ", " ", "\n"])
-            if self.r.random() < 0.5:
+            if self.r.random() < self.neutral:
+                # a name, or the name of a thing, amid words that tell nothing: what isn't a thing is a name
+                words = self.r.choice(FILLER).split(" ")
+                at = self.r.randint(1, len(words))
+                while at < len(words) and words[at - 1][-1:].isdigit():
+                    at += 1
+                before, after = " ".join(words[:at]), " ".join(words[at:])
+                lead = self.r.choice(["", "", "", ": ", ", ", " - "]) or " "
+                if self.r.random() < 0.6:
+                    put("PERSON", before.rstrip(".,") + lead + "{}" + (f" {after}" if after else "."))
+                else:
+                    text += f"{before.rstrip('.,')}{lead}{self.thing()} {after}".rstrip()
+            elif self.r.random() < 0.5:
                 text += self.r.choice(FILLER)
+            elif self.r.random() < 0.08:
+                put("PERSON", self.r.choice(GIVEN))
             elif self.r.random() < 0.35:
                 put("", self.r.choice(MIXED))
             else:

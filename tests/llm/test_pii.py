@@ -2,6 +2,7 @@ import json
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from spanloom.llm import pii as P
 from spanloom.llm.boosting import Trees, best_threshold
@@ -20,8 +21,9 @@ def test_trees_learn_and_thresholds_cut():
     assert 0.2 < best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) < 0.8
 
 
-def test_held_out_samples():
-    found, maker, n = P.trained(), Maker(4711), Counter()
+@pytest.mark.parametrize("neutral, precision", [(0.0, 0.97), (0.15, 0.9)])
+def test_held_out_samples(neutral, precision):
+    found, maker, n = P.trained(), Maker(4711, neutral), Counter()
     samples = [maker.sample() for _ in range(1500)]
     for (_, _, truth), got in zip(samples, found.spans([s[0] for s in samples], [s[1] for s in samples])):
         for kind, a, b in truth:
@@ -31,7 +33,7 @@ def test_held_out_samples():
             n[k, "got"] += 1
             n[k, "right"] += any(k == kind and min(b, y) - max(a, x) > 0 for kind, a, b in truth)
     for t in P.TYPES:
-        assert n[t, "hit"] >= 0.85 * n[t, "all"] and n[t, "right"] >= 0.97 * n[t, "got"], (t, n)
+        assert n[t, "hit"] >= 0.85 * n[t, "all"] and n[t, "right"] >= precision * n[t, "got"], (t, n)
 
 
 def test_one_of_each_and_what_is_none():
@@ -64,3 +66,70 @@ def test_long_text_and_empty_tables(spark):
     text = "The loader reads the last record. " * 30000 + "Signed by Anna Kellberg."
     assert [k for k, *_ in P.trained().spans([text], [""])[0]] == ["PERSON"]
     assert P.found(spark.createDataFrame([], TRACES), spark.createDataFrame([], LOG)).count() == 0
+
+
+# Wording that is in no sample: how well what was learnt carries over.
+UNSEEN = [
+    "Could you get {PERSON} to sign this?", "I had lunch with {PERSON} and the others.", "Our landlord, {PERSON}, lives at {ADDRESS}.", "Tell {PERSON} the courier rang {PHONE} twice.", "{PERSON} resigned in March.", "Thanks to {PERSON} for the review.", "Ask for {PERSON} at the counter.",
+    "Wir danken {PERSON} für die Hilfe.", "Nachricht für {PERSON}: Rückruf unter {PHONE}.", "Demandez {PERSON} au guichet.", "Pregunte por {PERSON} en la entrada.", "Forward everything to {EMAIL} before Friday.", "Bounced: {EMAIL}", "Unsubscribe {EMAIL} please.", "Die Adresse {EMAIL} ist ungültig.",
+    "My cell is {PHONE}.", "Text {PHONE} when you arrive.", "Fax an {PHONE} genügt.", "Joignable au {PHONE}.", "Her {ID_NUMBER} was on the form.", "Scan of {ID_NUMBER} received.", "Kopie von {ID_NUMBER} liegt vor.", "Mail the keys to {ADDRESS}.", "The flat at {ADDRESS} is empty.", "Umgezogen nach {ADDRESS}.", "Rendez-vous au {ADDRESS}.", "Se mudó a {ADDRESS}.",
+    "Kind regards, {PERSON}", "{PERSON} wants a callback on {PHONE}.", "cc {PERSON} <{EMAIL}>", "Patient {PERSON}, {ID_NUMBER}, {ADDRESS}", "Invoice to {PERSON}, {ADDRESS}; queries to {EMAIL}.",
+]
+
+
+def test_wording_that_is_in_no_sample():
+    """Recall per type on held-out wording; the README has the figures."""
+    from spanloom.llm import pii_samples as S
+
+    seen = {f for fs in S.AROUND.values() for f in fs} | set(S.MIXED) | set(S.FILLER) | set(S.GIVEN)
+    assert not seen & set(UNSEEN)
+    maker, found, n = Maker(99), P.trained(), Counter()
+    make = {"PERSON": maker.person, "EMAIL": maker.email, "PHONE": maker.phone, "ID_NUMBER": maker.id_number, "ADDRESS": maker.address}
+    for _ in range(30):
+        for frame in UNSEEN:
+            text, truth, at = "", [], 0
+            while (i := frame.find("{", at)) >= 0:
+                text += frame[at:i]
+                at = frame.index("}", i) + 1
+                kind = frame[i + 1 : at - 1]
+                value = make[kind]()
+                truth.append((kind, len(text), len(text) + len(value)))
+                text += value
+            text += frame[at:]
+            got = found.spans([text], ["text"])[0]
+            for kind, a, b in truth:
+                n[kind, "all"] += 1
+                n[kind, "hit"] += any(k == kind and min(b, y) - max(a, x) >= 0.6 * (b - a) for k, x, y in got)
+            for k, x, y in got:
+                n["got"] += 1
+                n["right"] += any(k == kind and min(b, y) - max(a, x) > 0 for kind, a, b in truth)
+    recall = {t: round(n[t, "hit"] / n[t, "all"], 3) for t in P.TYPES}
+    print(recall, n["right"] / n["got"])
+    assert sum(n[t, "hit"] for t in P.TYPES) >= 0.9 * sum(n[t, "all"] for t in P.TYPES), recall
+    assert n["right"] >= 0.95 * n["got"]
+
+
+def test_single_and_long_names():
+    texts = ["Dear Maria, the case is closed.", "Signed by Juan Carlos de la Cruz Garcia yesterday.", "Call Maria Keller on +49 30 12345-678.", "Dear Team, the run is done.", "The default is Python here."]
+    got = [[t[a:b] for k, a, b in g if k == "PERSON"] for t, g in zip(texts, P.trained().spans(texts, [""] * len(texts)))]
+    assert got == [["Maria"], ["Juan Carlos de la Cruz Garcia"], ["Maria Keller"], [], []]
+
+
+def test_texts_without_a_detail_stay_and_keys_and_sources_are_looked_at(spark):
+    deep = "[" * 60_000 + '"mail bob@firm.de"' + "]" * 60_000
+    inner = '{"a": 1.50,\n  "b" : ["x", null, true, 7]}'
+    found = '{"source": "Call Maria Keller on +49 30 12345-678.",  "x": 1.50, "input": {"anna@firm.de": "mail bob@firm.de", "eve@firm.de": 2}}'
+    log = [(1, json.dumps({"content": inner}), 0), (2, json.dumps({"content": [{"type": "tool_result", "tool_use_id": "a@b.cd", "content": found}]}), 0), (3, json.dumps({"content": deep}), 0), (4, json.dumps({"content": [{"type": "tool_use", "id": "i", "name": "f", "input": {"to": "bob@firm.de"}}, {"type": "image", "source": {"by": "bob@firm.de"}}]}), 0)]
+    t, g = spark.createDataFrame([], TRACES), spark.createDataFrame(log, LOG)
+    got = {r.row_id: r.text for r in P.redact(t, g).collect()}
+    assert got[1] == inner and got[3] == deep.replace("bob@firm.de", "<EMAIL>")
+    assert json.loads(got[2])[0]["content"] == found.replace("Maria Keller", "<PERSON>").replace("+49 30 12345-678", "<PHONE>").replace("anna@firm.de", "<EMAIL>").replace("bob@firm.de", "<EMAIL>").replace("eve@firm.de", "<EMAIL> 2")
+    assert json.loads(got[2])[0]["tool_use_id"] == "a@b.cd" and json.loads(got[4])[0]["input"] == {"to": "<EMAIL>"} and json.loads(got[4])[1]["source"] == {"by": "bob@firm.de"}
+
+
+def test_found_is_what_redact_replaced(spark):
+    import re
+
+    t, g = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("traces", "session_log"))
+    replaced = {(r.src, r.row_id, k) for r in P.redact(t, g).collect() for k in re.findall("<(EMAIL|PHONE|ID_NUMBER|ADDRESS|PERSON)>", r.text)}
+    assert {tuple(r) for r in P.found(t, g).collect()} == replaced and len(replaced) > 100

@@ -1,18 +1,21 @@
 """Evaluation texts inside a corpus, found by q-gram lemma filtering and verified by banded alignment.
 
-The items are few and don't grow with the corpus, so their q-gram index is broadcast (in blocks of at
-most INDEX_CHARS characters of items); the corpus is read once and nothing of it is shuffled. Of each
-document every q-gram is looked up; hits are counted in overlapping diagonal bands per item text.
-A region of WORDS consecutive item words with at most EDITS edits keeps at least its q-grams minus
-EDITS times Q (the q-gram lemma); bands that reach the smallest such bound of the item text are
-retained. Each is verified by a banded local alignment of words in which slips of spelling match.
+The items are few and don't grow with the corpus, so their q-gram index is broadcast, in blocks of at
+most INDEX_CHARS characters of items (an item is never split over blocks; with several blocks the corpus
+is read once for each). Nothing of the corpus is shuffled. Of each document every q-gram is looked up;
+hits are counted in overlapping diagonal bands per item text. A region of WORDS consecutive item words
+with at most EDITS edits keeps at least its q-grams minus EDITS times Q (the q-gram lemma); bands that
+reach the smallest such bound of the item text are retained, and where the lemma promises nothing every
+band with a hit is. Each is verified by a banded local alignment of words in which slips of spelling match.
 
 Wording that many items share is no leak: q-grams of more than SHARED of the items are left out of
-index and bound alike, and an alignment must contain words that are the item's own.
+index and bound alike, and an alignment must contain words that are the item's own. Both are counted
+over all items, so blocks change nothing.
 
-Texts are compared in lower case, without accents, markup, punctuation and spacing. An item text of
-fewer than WORDS words must stand whole. null or empty texts and items leak nothing; repeated
-documents each report their own leaks; empty tables give no rows.
+Texts are compared in lower case, without accents, markup, punctuation and spacing, letters and digits
+of every script; in scripts without blanks a character is a word. An item text of fewer than WORDS
+words must stand whole. null or empty texts and items leak nothing; repeated documents each report
+their own leaks; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,18 +24,21 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Q, WORDS, EDITS, BAND = 6, 12, 3, 64
 SHARED = 0.08  # a q-gram in more than this share of the items is common wording
 OWN = 0.02  # a word in at most this share of the items (or two) is an item's own
-INDEX_CHARS = 20_000_000
+INDEX_CHARS = 5_000_000  # an index takes some 30 bytes a character in each Python worker
 
 _TAGS = re.compile(r"<\|?/?[A-Za-z][^<>\n]{0,60}>")
-_OTHER = re.compile(r"[^0-9a-zа-я]+")
+_OTHER = re.compile(r"[\W_]+")
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")  # scripts written without blanks
 _BASE = np.uint64(1_000_003)
 
 
@@ -43,6 +49,7 @@ def normal(text: str | None) -> str:
     text = _TAGS.sub(" ", text).lower()
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+        text = _UNSPACED.sub(r" \1 ", text)
     return _OTHER.sub(" ", text).strip()
 
 
@@ -87,29 +94,74 @@ def same(a: str, b: str) -> bool:
     return distance(a, b, most) <= most
 
 
+@dataclass
+class Shared:
+    """What is counted over all items: how many there are, and the q-grams and words too common to tell one from another."""
+
+    items: int
+    grams: frozenset[int]
+    words: frozenset[str]
+
+    @staticmethod
+    def least(items: int) -> tuple[float, float]:
+        """In more items than this a q-gram is common wording, a word is not an item's own."""
+        return max(2, SHARED * items), max(2, OWN * items)
+
+
+def shared_of(units: list[tuple[int, str]]) -> Shared:
+    """Counted in memory, for items that are all at hand."""
+    gram_items, word_items = defaultdict(set), defaultdict(set)
+    for i, text in units:
+        n = normal(text)
+        for g in grams(n).tolist():
+            gram_items[g].add(i)
+        for w in n.split():
+            word_items[w].add(i)
+    items = len({i for i, t in units if normal(t)})
+    g, w = Shared.least(items)
+    return Shared(items, frozenset(k for k, s in gram_items.items() if len(s) > g), frozenset(k for k, s in word_items.items() if len(s) > w))
+
+
+def counted(items: DataFrame) -> Shared:
+    """Counted by one grouped aggregate over all items.
+
+    What is brought to the driver is bounded: a q-gram in more than SHARED of the items can only be one of (average
+    q-grams of an item) / SHARED, and likewise for words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, *texts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                each = [n for t in texts if (n := normal(t))] if i is not None else []
+                found = sorted({g for n in each for g in grams(n).tolist()})
+                words = sorted({w for n in each for w in n.split(" ")})
+                if each:
+                    kind = ["i", *["g"] * len(found), *["w"] * len(words)]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(kind), pa.int64()), pa.array(kind), pa.array(["", *map(str, found), *words])], ["item_id", "kind", "what"])
+
+    each = items.select("item_id", "prompt", "answer").mapInArrow(run, "item_id bigint, kind string, what string").distinct()
+    by = each.groupBy("kind", "what").agg(F.count(F.lit(1)).alias("n"))
+    total = next((r["n"] for r in by.where("kind = 'i'").collect()), 0)
+    g, w = Shared.least(total)
+    common = by.where(f"(kind = 'g' and n > {g}) or (kind = 'w' and n > {w})").collect()
+    return Shared(total, frozenset(int(r["what"]) for r in common if r["kind"] == "g"), frozenset(r["what"] for r in common if r["kind"] == "w"))
+
+
 class Index:
     """The q-grams of item texts, the bound of each, and their words."""
 
-    def __init__(self, items: list[tuple[int, str]], total: int | None = None, shared: dict | None = None):
-        """items: (item_id, text). total and shared: of all items, where these are one block of them."""
+    def __init__(self, items: list[tuple[int, str]], shared: Shared | None = None):
+        """items: (item_id, text). shared: of all items, where these are one block of them."""
         units = [(i, n) for i, t in items if (n := normal(t))]
+        shared = shared or shared_of(items)
         self.item = np.array([i for i, _ in units], np.int64)
         self.text = [n for _, n in units]
         self.words = [n.split(" ") for _, n in units]
-        number = max(1, total or len({i for i, _ in units}))
-        gram_items, word_items = defaultdict(set), defaultdict(set)
-        per = [grams(n) for n in self.text]
-        for u, (i, _) in enumerate(units):
-            for g in per[u].tolist():
-                gram_items[g].add(i)
-            for w in self.words[u]:
-                word_items[w].add(i)
-        common = {g for g, s in gram_items.items() if len(s) > max(2, SHARED * number)}
-        own_most = max(2, OWN * number)
-        self.own = [np.array([len(word_items[w]) <= own_most for w in ws]) for ws in self.words]
+        self.own = [np.array([w not in shared.words for w in ws]) for ws in self.words]
         rows, self.bound = [], np.zeros(len(units), np.int64)
-        for u, h in enumerate(per):
-            kept = np.array([g not in common for g in h.tolist()], bool)
+        for u, n in enumerate(self.text):
+            h = grams(n)
+            kept = np.array([g not in shared.grams for g in h.tolist()], bool)
             at = np.flatnonzero(kept)
             rows.append(np.stack([h[at], np.full(len(at), u, np.uint64), at.astype(np.uint64)]))
             self.bound[u] = self._bound(self.words[u], self.own[u], kept)
@@ -119,10 +171,11 @@ class Index:
         self.first = np.append(first, all_rows.shape[1]).astype(np.int64)
         self.unit, self.place = (all_rows[k][order].astype(np.int64) for k in (1, 2))
         self.length = np.array([len(t) for t in self.text], np.int64)
+        self.longest = int(self.length.max(initial=0))
 
     @staticmethod
     def _bound(words: list[str], own: np.ndarray, kept: np.ndarray) -> int:
-        """Fewest kept q-grams of any WORDS words with own words in them, less what EDITS edits can break."""
+        """Fewest kept q-grams of any WORDS words with own words in them, less what EDITS edits can break; at least one hit."""
         starts = np.cumsum([0, *[len(w) + 1 for w in words]])
         sums = np.concatenate([[0], np.cumsum(kept)])
         n = min(WORDS, len(words))
@@ -131,7 +184,7 @@ class Index:
             if own[i : i + n].sum() >= min(2, own.sum()):
                 a, b = starts[i], max(starts[i], min(starts[i + n] - 1 - Q + 1, len(kept)))
                 best.append(int(sums[b] - sums[a]))
-        return max(3, min(best, default=0) - EDITS * Q)
+        return max(1, min(best, default=0) - EDITS * Q)
 
     def regions(self, text: str) -> list[tuple[int, int, int]]:
         """(unit, first, last): stretches of text whose diagonal bands reach the unit's bound."""
@@ -148,7 +201,7 @@ class Index:
         post = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
         doc, unit, place = np.repeat(hit, n), self.unit[post], self.place[post]
         half = BAND // 2
-        band = (doc - place + (1 << 20)) // half
+        band = (doc - place + self.longest + BAND) // half  # never negative, and below 2^40
         out = []
         # each hit counts in the two bands that overlap at its diagonal
         key = np.concatenate([unit * (1 << 40) + band, unit * (1 << 40) + band - 1])
@@ -168,6 +221,10 @@ class Index:
         """Banded local alignment of the unit's words with a stretch of the document's."""
         a, own = self.words[unit], self.own[unit]
         need = min(WORDS, len(a))
+        there = set(words)
+        # EDITS edits leave all but EDITS of the words as they are
+        if sum(w in there for w in a) < need - EDITS - 1:
+            return False
         by_word = defaultdict(list)
         for j, w in enumerate(words):
             by_word[w].append(j)
@@ -224,25 +281,26 @@ class Index:
         return sorted(out)
 
 
-def blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The item texts, (item_id, text), in blocks of at most INDEX_CHARS characters."""
-    out, size = [[]], 0
-    for r in items.select("item_id", "prompt", "answer").toLocalIterator():
-        for t in (r["prompt"], r["answer"]):
-            if t and r["item_id"] is not None:
-                if size + len(t) > INDEX_CHARS and out[-1]:
-                    out.append([])
-                    size = 0
-                out[-1].append((r["item_id"], t))
-                size += len(t)
-    return out
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The item texts, (item_id, text), in blocks of at most INDEX_CHARS characters, both texts of an item in one."""
+    out: list[tuple[int, str]] = []
+    size = 0
+    for r in items.where("item_id is not null").select("item_id", "prompt", "answer").toLocalIterator():
+        both = [(r["item_id"], t) for t in (r["prompt"], r["answer"]) if t]
+        length = sum(len(t) for _, t in both)
+        if out and size + length > INDEX_CHARS:
+            yield out
+            out, size = [], 0
+        out += both
+        size += length
+    yield out
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): one row per document and item that leaks into it."""
-    spark, out = documents.sparkSession, None
+    spark, out, shared = documents.sparkSession, None, counted(items)
     for block in blocks(items):
-        index = spark.sparkContext.broadcast(Index(block))
+        index = spark.sparkContext.broadcast(Index(block, shared))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -144,7 +144,7 @@ def candidates(text: str, key: str = "") -> list[tuple[str, int, int]]:
                     break
                 if any(c.isdigit() or c == "_" for w in inner for c in w):
                     break
-                if any(w.lower() in CALENDAR for w in inner):
+                if any(w.lower() in CALENDAR or w.startswith(("I'", "I’")) for w in inner):
                     break
                 last = part[-1][0].rstrip(".,")
                 if len(last) < 2 or (inner[0].rstrip(".").lower() in STOP and not (len(inner[0]) == 2 and inner[0][1] == ".")):

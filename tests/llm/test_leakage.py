@@ -100,3 +100,30 @@ def test_empty_tables(spark):
     assert found(spark, [], items(3)) == set()
     its = spark.createDataFrame([], ITEMS)
     assert L.found(spark.createDataFrame([(1, "x", 0)], DOCS), its).count() == 0
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Counts of common wording are over all items, however many blocks they are in."""
+    r = random.Random(3)
+    its = [(i, "s", "en", f"Read the attached ledger with care and then reply in one line only to {words(r)} {words(r)}.", filled(r)) for i in range(200)]
+    docs = [(i, it[3] if i % 3 else it[4], 0) for i, it in enumerate(its)] + [(900, "Read the attached ledger with care and then reply in one line only to them.", 0)]
+    want = found(spark, docs, its)
+    monkeypatch.setattr(L, "INDEX_CHARS", 3_000)
+    assert len(list(L.blocks(spark.createDataFrame(its, ITEMS)))) > 5
+    assert found(spark, docs, its) == want and {(i, i) for i in range(200) if i % 3 == 0} <= want and not any(d == 900 for d, _ in want)
+
+
+def test_every_script_leaks(spark):
+    zh = "東の倉庫では四十二個の箱が夜明け前に運び出され係員が番号を控えた"
+    el = "το πρωί έφυγαν σαράντα δύο κιβώτια από την αποθήκη και ο φύλακας έγραψε τους αριθμούς τους"
+    ar = "في الصباح غادرت اثنتان وأربعون حاوية المستودع وكتب الحارس أرقامها في الدفتر الأزرق الكبير"
+    its = [(1, "s", "ja", zh, None), (2, "s", "el", None, el), (3, "s", "ar", ar, "")]
+    docs = [(1, "前文。" + zh[3:28] + "。", 0), (2, "Αρχή. " + el.upper() + " Τέλος.", 0), (3, "x " + ar + " y", 0), (4, zh[:9], 0)]
+    assert found(spark, docs, its) == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_long_items_and_far_diagonals(spark):
+    r = random.Random(4)
+    long = " ".join(words(r) for _ in range(60_000))
+    tail = " ".join(long.split()[-30:])
+    assert found(spark, [(1, tail, 0), (2, "nothing of it", 0)], [(1, "s", "en", long, None), (2, "s", "en", filled(r), None)]) == {(1, 1)}

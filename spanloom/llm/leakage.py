@@ -158,6 +158,7 @@ class Index:
         self.text = [n for _, n in units]
         self.words = [n.split(" ") for _, n in units]
         self.own = [np.array([w not in shared.words for w in ws]) for ws in self.words]
+        self.own_words = [frozenset(w for w, o in zip(ws, own) if o) for ws, own in zip(self.words, self.own)]
         rows, self.bound = [], np.zeros(len(units), np.int64)
         for u, n in enumerate(self.text):
             h = grams(n)
@@ -202,7 +203,6 @@ class Index:
         doc, unit, place = np.repeat(hit, n), self.unit[post], self.place[post]
         half = BAND // 2
         band = (doc - place + self.longest + BAND) // half  # never negative, and below 2^40
-        out = []
         # each hit counts in the two bands that overlap at its diagonal
         key = np.concatenate([unit * (1 << 40) + band, unit * (1 << 40) + band - 1])
         where = np.concatenate([doc, doc])
@@ -210,20 +210,21 @@ class Index:
         key, where = key[order], where[order]
         cut = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
         size = np.diff(np.append(cut, len(key)))
-        for c, s in zip(cut, size):
-            u = int(key[c] >> 40)
-            if s >= self.bound[u]:
-                w = where[c : c + s]
-                out.append((u, int(w.min()), int(w.max())))
-        return out
+        units = key[cut] >> 40
+        kept = np.flatnonzero(size >= self.bound[units])
+        first, last = np.minimum.reduceat(where, cut)[kept], np.maximum.reduceat(where, cut)[kept]
+        return list(dict.fromkeys(zip(units[kept].tolist(), first.tolist(), last.tolist())))
 
     def verify(self, unit: int, words: list[str]) -> bool:
         """Banded local alignment of the unit's words with a stretch of the document's."""
         a, own = self.words[unit], self.own[unit]
         need = min(WORDS, len(a))
+        # EDITS edits leave all but EDITS of WORDS words as they are, and one that is the item's own among them
         there = set(words)
-        # EDITS edits leave all but EDITS of the words as they are
-        if sum(w in there for w in a) < need - EDITS - 1:
+        if self.own_words[unit].isdisjoint(there):
+            return False
+        same_words = np.cumsum([0, *[w in there for w in a]])
+        if (same_words[need:] - same_words[:-need]).max() < need - EDITS:
             return False
         by_word = defaultdict(list)
         for j, w in enumerate(words):
@@ -266,7 +267,7 @@ class Index:
     def leaks(self, text: str | None) -> list[int]:
         """Items whose text leaks into this one."""
         t = normal(text)
-        out, done = set(), set()
+        out, done, split = set(), set(), {}
         for u, first, end in self.regions(t):
             i = int(self.item[u])
             if i in out:
@@ -276,7 +277,9 @@ class Index:
             if (u, a, b) in done:
                 continue
             done.add((u, a, b))
-            if self.verify(u, t[a:b].split(" ")):
+            if (a, b) not in split:
+                split[a, b] = t[a:b].split(" ")
+            if self.verify(u, split[a, b]):
                 out.add(i)
         return sorted(out)
 

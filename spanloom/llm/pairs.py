@@ -5,7 +5,10 @@ them are built-in expressions. How often each combination of votes occurs is cou
 (a map-side combine; the result is bounded by the number of combinations). On those counts the driver
 fits, per defect, a two-class model in which the functions are independent given the class, by
 expectation maximization from a stated start with stated pseudo-counts. The fitted log-odds go back
-into one expression that gives each pair its posterior; every defect above its cutoff is kept.
+into one expression that gives each pair its posterior; every defect above its cutoff is kept. The
+cutoffs are validated on made-up labelled pairs (pair_samples, at most SIZE of them), which are voted on
+in the same pass as the data but neither fitted on nor counted: for each defect the cut with the highest
+F1 on them, and of cuts that are equally good the one nearest to an even chance.
 
 A pair is a row whose attributes parse and carry a task that is not null. A null or missing answer is
 an empty one. Rows with null or unreadable attributes are no pairs. Empty tables give no rows.
@@ -20,10 +23,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm import pair_samples
 from spanloom.llm.words import LANGUAGE_NAMES, LANGUAGES, hits, likeliest, plain
 
 DEFECTS = ("empty", "refusal", "copied", "wrong_language", "truncated")  # of several, the first is the one reported
-CUTOFF = {"empty": 0.5, "refusal": 0.5, "copied": 0.5, "wrong_language": 0.5, "truncated": 0.5}
 
 # Ways of saying nothing, of declining, and around it.
 NOTHING = r"^(?:null|none|nil|nan|n\s*a|undefined|no (?:output|answer|response|content|text|reply)|empty|keine antwort|sans réponse|sin respuesta)?$"
@@ -69,7 +72,7 @@ def with_features(p: DataFrame) -> DataFrame:
     asked = F.coalesce(*[F.when(F.lower("task").rlike(rf"(?i)\b(?:translate|übersetze|traduis|traduisez|traduce|traduzca|traduz|traduza|vertaal|переведи\w*|answer|reply|respond|write|antworte|réponds|responde|antwoord)\b[^.:?!]{{0,40}}\b(?:into|in|to|auf|ins|en|al|em|para|naar|на)\s+(?:the\s+|l'|la\s+|het\s+)?(?:{names})\b"), x_) for x_, names in LANGUAGE_NAMES.items()])
     # each regex and each split once: the votes look at columns
     x = x.withColumns({"wt": F.split("at", " "), "waa": F.split("aa", " "), "wa": F.split("rest", " "), "asked": asked})
-    x = x.withColumns({"asked": F.coalesce("asked", likeliest(F.col("wt"), 2)), "told": likeliest(F.col("wa"), 2), **{f"n_{k}": hits(F.col("wa"), k) for k in LANGUAGES}})
+    x = x.withColumns({"asked": F.coalesce("asked", likeliest(F.col("wt"), 2)), "hint": likeliest(F.col("wt"), 1), "told": likeliest(F.col("wa"), 2), **{f"n_{k}": hits(F.col("wa"), k) for k in LANGUAGES}})
     x = x.withColumns({"n_rest": F.when(F.col("rest") == "", 0).otherwise(F.size("wa")), "letters": F.length(F.regexp_replace("bare", r"[^\p{L}]", "")), "shared": F.size(F.array_intersect("waa", "wt")), "either": F.size(F.array_union("waa", "wt"))})
     x = x.withColumns({"declines": F.col("low").rlike(DECLINES), "sorry": F.col("low").rlike(SORRY), "policy": F.col("low").rlike(POLICY)})
     own = reduce(lambda a, k: a.when(F.col("asked") == k, F.col(f"n_{k}")), LANGUAGES[1:], F.when(F.col("asked") == LANGUAGES[0], F.col(f"n_{LANGUAGES[0]}")))
@@ -124,6 +127,8 @@ def votes(x: DataFrame) -> dict[str, list]:
             _vote(c("asked").isNotNull() & c("told").isNotNull() & (c("asked") != c("told")), c("asked") == c("told")),
             _vote((c("own") == 0) & (c("best") >= 2), c("own") >= 2),
             _vote((c("best") >= 3) & (c("own") * 2 < c("best")), c("own") >= c("best")),
+            # a short task may have one telling word only
+            _vote(c("asked").isNull() & (c("hint") != c("told")) & (c("best") >= 3), c("asked").isNull() & (c("hint") == c("told"))),
             _vote((c("asked") != "ru") & (F.length(F.regexp_replace("rest", r"[^\p{IsCyrillic}]", "")) > 0.4 * F.length("rest")) & (F.length("rest") > 8), (c("asked") == "ru") & (c("told") == "ru")),
         ],
         "truncated": [
@@ -168,25 +173,32 @@ def _odds(a: float, b: float, vote: int) -> float:
     return math.log(a / b) if vote == 1 else math.log((1 - a) / (1 - b)) if vote == -1 else 0.0
 
 
-def voted(traces: DataFrame) -> DataFrame:
-    """(delivery_id, one array of votes per defect).
+def with_samples(p: DataFrame) -> DataFrame:
+    """Pairs with sample: null, and below them the made-up ones under their numbers."""
+    rows = [(None, *x[1:4], x[0]) for x in pair_samples.samples()]
+    made = p.sparkSession.createDataFrame(rows, p.select("delivery_id", "task", "answer", "finish", F.lit(0).alias("sample")).schema)
+    return p.withColumn("sample", F.lit(None).cast("int")).unionByName(made)
+
+
+def voted(p: DataFrame) -> DataFrame:
+    """(delivery_id, sample, one array of votes per defect), of pairs with samples.
 
     Only votes and the last word of unended answers are shuffled to meet the counts of words. Rows without
     such a word get keys of their own, so that they spread.
     """
-    x = with_features(pairs(traces))
-    stats = end_words(x.select("answer").where("answer is not null"))
+    x = with_features(p)
+    stats = end_words(x.select("answer").where("answer is not null and sample is null"))
     unended = F.when(~F.col("bare").rlike(ENDS), F.regexp_extract(F.lower("bare"), r"([\p{L}\p{N}'@.-]+)\W*$", 1))
     v = votes(x)
     *known, (ends, held) = *v["truncated"][:3], v["truncated"][3]
-    narrow = x.select("delivery_id", unended.alias("last_word"), *[F.array(*c).alias(k) for k, c in v.items() if k != "truncated"], F.array(*known).alias("known"), ends.alias("open_end"), held.alias("whole"))
-    narrow = narrow.withColumn("word", F.coalesce("last_word", F.concat(F.lit("\u0001"), F.col("delivery_id").cast("string"))))
+    narrow = x.select("delivery_id", "sample", unended.alias("last_word"), *[F.array(*c).alias(k) for k, c in v.items() if k != "truncated"], F.array(*known).alias("known"), ends.alias("open_end"), held.alias("whole"))
+    narrow = narrow.withColumn("word", F.coalesce("last_word", F.concat(F.lit("\u0001"), F.coalesce("delivery_id", "sample").cast("string"))))
     share = stats.where("`all` >= 5 or ends > 0").select("word", (F.col("ends") / F.col("all")).alias("_share"))
     y = narrow.join(share, "word", "left").withColumn("end_share", F.when(F.col("last_word").isNotNull(), F.coalesce("_share", F.lit(0.0))))
     # how plausible the last word is as an end; the second only speaks where it hardly ever is one
     likely, sure = F.col("end_share") >= 0.08, F.col("end_share") < 0.005
     truncated = F.concat("known", F.array(_vote(F.col("open_end") & ~likely, likely), _vote(F.col("open_end") & sure, F.col("whole"))))
-    return y.select("delivery_id", *[d for d in DEFECTS if d != "truncated"], truncated.alias("truncated"))
+    return y.select("delivery_id", "sample", *[d for d in DEFECTS if d != "truncated"], truncated.alias("truncated"))
 
 
 def label_model(v: DataFrame) -> dict[str, tuple[float, list[dict[int, float]]]]:
@@ -205,18 +217,47 @@ def posteriors(v: DataFrame, model: dict) -> DataFrame:
             vote = F.get(d, F.lit(j))
             odds = odds + F.when(vote == 1, float(t[1])).when(vote == -1, float(t[-1])).otherwise(float(t[0]))
         cols.append((F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).alias(d))
-    return v.select("delivery_id", *cols)
+    return v.select("delivery_id", "sample", *cols)
+
+
+LEAST, MOST = 0.1, 0.9
+
+
+def best_cutoff(scored: list[tuple[float, bool]]) -> float:
+    """Of the cuts with the highest F1 the one nearest to 0.5. Without a defective pair that's 0.5.
+
+    Cuts are looked for between LEAST and MOST: defects are far more frequent in the sample than in data, so that a
+    cut at either end would be fitted to the sample's shares.
+    """
+    wrong = sum(y for _, y in scored)
+    levels = [LEAST, *sorted({p for p, _ in scored if LEAST < p < MOST}), MOST]
+    best, cut = -1.0, 0.5
+    for low, high in zip(levels, levels[1:]):
+        above = [y for p, y in scored if p > low]
+        f1 = 2 * sum(above) / (len(above) + wrong) if wrong else 0.0
+        at = min(max(0.5, low), high - (high - low) / 1000)  # of the cuts between two posteriors the nearest
+        if f1 > best + 1e-9 or (f1 > best - 1e-9 and abs(at - 0.5) < abs(cut - 0.5)):
+            best, cut = max(f1, best), at
+    return cut
+
+
+def validated(p: DataFrame) -> dict[str, float]:
+    """A cutoff per defect, from the posteriors of the made-up pairs."""
+    truth = {x[0]: x[4] for x in pair_samples.samples()}
+    rows = p.where("sample is not null").collect()  # at most SIZE
+    return {d: best_cutoff([(r[d], d in truth[r["sample"]]) for r in rows]) for d in DEFECTS}
 
 
 def labelled(traces: DataFrame) -> DataFrame:
-    """(delivery_id, defects, posteriors): all defects above their cutoffs, in the order of DEFECTS."""
+    """(delivery_id, labels): all defects whose posterior exceeds its validated cutoff, in the order of DEFECTS."""
     from spanloom.session import cut
 
-    v = cut(voted(traces), "votes")  # narrow; both the fit and the labels read it
-    p = posteriors(v, label_model(v))
+    v = cut(voted(with_samples(pairs(traces))), "votes")  # narrow; the fit, the cutoffs and the labels read it
+    p = posteriors(v, label_model(v.where("sample is null")))
+    cutoff = validated(p)
     each = F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("posterior")) for d in DEFECTS])
-    kept = F.filter(each, lambda e: e["posterior"] > F.coalesce(*[F.when(e["defect"] == d, F.lit(CUTOFF[d])) for d in DEFECTS]))
-    return p.select("delivery_id", kept.alias("labels")).where(F.size("labels") > 0)
+    kept = F.filter(each, lambda e: e["posterior"] > F.coalesce(*[F.when(e["defect"] == d, F.lit(c)) for d, c in cutoff.items()]))
+    return p.where("sample is null").select("delivery_id", kept.alias("labels")).where(F.size("labels") > 0)
 
 
 def found(traces: DataFrame) -> DataFrame:

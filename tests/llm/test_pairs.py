@@ -69,3 +69,30 @@ def test_long_text_and_empty_table(spark):
     long = json.dumps({"task": "Explain it.", "gen_ai.completion": "The loader reads the last record. " * 20000})
     assert P.found(spark.createDataFrame([(1, long, "", 0)], SCHEMA)).count() == 0
     assert P.found(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_cutoffs_are_validated_on_made_up_pairs(spark):
+    """Half of the sample sets the cutoffs, the other half tells how they do; its wording is in no labelling function."""
+    from spanloom.llm import pair_samples as S
+    from spanloom.llm import pairs as P
+
+    t = spark.read.parquet("/root/testdata/sf0.01/traces.parquet")
+    v = P.voted(P.with_samples(P.pairs(t))).cache()
+    p = P.posteriors(v, P.label_model(v.where("sample is null")))
+    truth = {x[0]: x[4] for x in S.samples()}
+    rows = p.where("sample is not null").collect()
+    assert len(rows) == len(truth) == S.SIZE
+    for d in P.DEFECTS:
+        cut = P.best_cutoff([(r[d], d in truth[r["sample"]]) for r in rows if r["sample"] % 2])
+        held = [(r[d] > cut, d in truth[r["sample"]]) for r in rows if r["sample"] % 2 == 0]
+        hit, found, true = (sum(x) for x in ([a and b for a, b in held], [a for a, _ in held], [b for _, b in held]))
+        assert P.LEAST <= cut <= P.MOST and hit >= 0.9 * true and hit >= 0.85 * found, (d, cut, hit, found, true)
+    v.unpersist()
+
+
+def test_best_cutoff():
+    from spanloom.llm.pairs import best_cutoff
+
+    assert best_cutoff([]) == 0.5 and best_cutoff([(0.2, False)]) == 0.5
+    assert 0.2 <= best_cutoff([(0.4, True), (0.2, False), (0.1, False)]) < 0.4
+    assert 0.6 <= best_cutoff([(0.6, False), (0.8, True)]) < 0.8

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import cause, hash_order
+from spanloom.operators.prefix import ranked
 
 
 def query(df: DataFrame, where: str | None = None, grep: str | None = None, limit: int | None = None) -> DataFrame:
@@ -62,10 +63,8 @@ def stratified(df: DataFrame, strata: Sequence[str], key: str, n: int, seed: str
 
 def first_last_middle(df: DataFrame, stratum: str, order: str) -> DataFrame:
     """The first, last and middle row of each stratum. Of one or two rows, those."""
-    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_all"))
-    x = df.join(counts, df[stratum].eqNullSafe(counts[stratum])).drop(counts[stratum])
-    x = x.withColumn("_at", F.row_number().over(W.partitionBy(stratum).orderBy(order)))
-    return x.where((F.col("_at") == 1) | (F.col("_at") == F.col("_all")) | (F.col("_at") == F.floor(F.col("_all") / 2) + 1)).drop("_all", "_at")
+    x = ranked(df, stratum, [order], "_at", "_all")
+    return x.where((F.col("_at") == 0) | (F.col("_at") == F.col("_all") - 1) | (F.col("_at") == F.floor(F.col("_all") / 2))).drop("_all", "_at")
 
 
 def top_by_hash(df: DataFrame, by: Sequence[str], key: str, n: int, seed: str = "s") -> DataFrame:
@@ -94,8 +93,8 @@ def at_most(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n:
 
 def numbered_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     """Repeated ids told apart by #1, #2 … in order; the first keeps its name."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
-    return df.withColumn("unique_id", F.when(n > 0, F.concat(F.col(key).cast("string"), F.lit("#"), n.cast("string"))).otherwise(F.col(key).cast("string")))
+    n = F.col("_n")
+    return ranked(df, key, [order], "_n").withColumn("unique_id", F.when(n > 0, F.concat(F.col(key).cast("string"), F.lit("#"), n.cast("string"))).otherwise(F.col(key).cast("string"))).drop("_n")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], replaced: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import shingles, words
+from spanloom.operators.prefix import ranked
 
 
 def reasons(conditions: dict[str, Column]) -> Column:
@@ -33,9 +34,7 @@ def overridden(spans: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataF
 
 def siblings(items: DataFrame, key: str, group: str, most: int = 2) -> DataFrame:
     """(key, sibling): up to most other items of the same group, the nearest in order of key after it, then from the start."""
-    w = W.partitionBy(group).orderBy(key)
-    n = items.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    x = items.join(n, group).withColumn("_at", F.row_number().over(w) - 1)
+    x = ranked(items.where(F.col(group).isNotNull()), group, [key], "_at", "_n")
     want = x.select(group, key, "_n", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"), "_at").where("k < _n").withColumn("_to", (F.col("_at") + F.col("k")) % F.col("_n"))
     to = x.select(group, F.col(key).alias("sibling"), F.col("_at").alias("_to"))
     return want.join(to, [group, "_to"]).select(key, "sibling")

@@ -107,10 +107,10 @@ def drawn(draws: int, slots: int, seed: str, spark) -> DataFrame:
 def bootstrap(df: DataFrame, group: str, value: str, draws: int = 200, seed: str = "b") -> DataFrame:
     """(mean, low, high): grouped percentile bootstrap at 95 %.
 
-    Groups are summed first; their number must fit one window (they are units like questions or sources).
+    Groups are summed first and numbered in their order range by range, so their number is not bounded by one task.
     """
     per = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("idx", (F.row_number().over(W.orderBy(group)) - 1).cast("bigint"))
+    per = running(per, [group], {"idx": F.lit(1)}).withColumn("idx", F.col("idx").cast("bigint"))
     slots = per.count()
     if not slots:
         return per.agg(F.max("s").alias("mean"), F.max("s").alias("low"), F.max("s").alias("high"))

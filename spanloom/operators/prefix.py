@@ -38,3 +38,14 @@ def whole_groups(df: DataFrame, group: str, order: Column, most: int) -> DataFra
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     kept = running(sizes, [order, group], {"_before": F.col("_n")}).where(F.col("_before") < most)
     return df.join(kept.select(group), group, "left_semi")
+
+
+def ranked(df: DataFrame, by: str, order: Sequence[Column | str], place: str, size: str | None = None) -> DataFrame:
+    """df with each row's 0-based place in its group, and the group's size, without one task seeing a whole group.
+
+    Null is a group like any other. order has to be total within a group.
+    """
+    x = running(df, [by, *order], {"__p": F.lit(1)})
+    groups = x.groupBy(F.col(by).alias("__g")).agg(F.min("__p").alias("__f"), F.count(F.lit(1)).alias("__n"))
+    x = x.join(groups, F.col(by).eqNullSafe(F.col("__g")))
+    return x.select(*df.columns, (F.col("__p") - F.col("__f")).alias(place), *([F.col("__n").alias(size)] if size else []))

@@ -106,22 +106,21 @@ def planned_jobs(seeds: DataFrame, seed: str, per_seed: int, strategies: list[st
 
 
 def capped_sweep(pairs: DataFrame, order: list[str], caps: dict[str, int]) -> DataFrame:
-    """pairs taken in order while every cap holds: caps name a column and how often one of its values may appear.
+    """pairs taken greedily in order while every cap holds: caps name a column and how often one of its values may appear.
 
-    Rounds of windows: in each round a pair stays if it is within all caps among the pairs that still stand;
-    it ends when nothing changes, so the result satisfies every cap, whatever the partitioning.
+    order has to be total. Exactly what taking them one by one gives, told in rounds: an open pair is taken once it would
+    fit even if all open ones before it were taken, and thrown out once those taken before it fill a cap. The first open
+    pair is settled in every round. Pairs thrown out use up no cap; what is settled isn't read as open again.
     """
     from spanloom.session import cut
 
-    cur = cut(pairs, "sweep")
-    while True:
-        x = cur
-        for c, most in caps.items():
-            x = x.withColumn(f"_n_{c}", F.row_number().over(W.partitionBy(c).orderBy(*order)))
-        ok = F.lit(True)
-        for c, most in caps.items():
-            ok = ok & (F.col(f"_n_{c}") <= most)
-        new = cut(x.where(ok).select(*pairs.columns), "sweep")
-        if new.count() == cur.count():
-            return new
-        cur = new
+    state = cut(pairs.withColumn("_taken", F.lit(False)), "sweep")
+    while not state.where("not _taken").isEmpty():
+        x, fits, full = state, F.lit(True), F.lit(False)
+        for i, (c, most) in enumerate(caps.items()):
+            before = W.partitionBy(c).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+            x = x.withColumns({f"_all{i}": F.count(F.lit(1)).over(before), f"_had{i}": F.coalesce(F.sum(F.col("_taken").cast("int")).over(before), F.lit(0))})
+            fits, full = fits & (F.col(f"_all{i}") < most), full | (F.col(f"_had{i}") >= most)
+        x = x.where(F.col("_taken") | ~full).withColumn("_taken", F.col("_taken") | fits)
+        state = cut(x.select(*pairs.columns, "_taken"), "sweep")
+    return state.drop("_taken")

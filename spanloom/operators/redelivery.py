@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.session import shared_dir
+from spanloom.session import run_dir
 
 BLOCK = 32768  # bits of one bitmap_construct_agg bitmap
 
@@ -77,7 +77,7 @@ def write_vectors(spark: SparkSession, path: str, keys: list[str], order: list[s
         .groupBy("_file", F.expr(f"_row div {BLOCK}").alias("block"))
         .agg(F.expr(f"bitmap_construct_agg(_row % {BLOCK})").alias("bits"))
     )
-    out = f"{shared_dir(spark)}/spanloom-vectors-{uuid.uuid4().hex}"
+    out = f"{run_dir(spark)}/vectors-{uuid.uuid4().hex}"
     bits.repartitionByRange("_file").sortWithinPartitions("_file", "block").write.parquet(out)
     return out
 

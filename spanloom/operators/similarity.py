@@ -9,6 +9,7 @@ are copies of each other; shorter texts than a shingle are one shingle. Empty ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalars import shingles, words
+from spanloom.functions.scalars import collapse, shingles, words
 from spanloom.operators.graphs import components
 from spanloom.session import cut
 
@@ -50,9 +51,14 @@ def similar_pairs(s: DataFrame, least: float = LEAST) -> DataFrame:
     common = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     # the prefix: enough of the rarest shingles that two similar sets must share one of them
     ranked = each.join(common, "g").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r"))
-    prefix = ranked.select("id", "size", F.explode(F.slice("r", F.lit(1), F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + 1)).alias("p")).where("p.df > 1").select("id", "size", F.col("p.g").alias("g"))
-    b = prefix.select(F.col("id").alias("b"), F.col("size").alias("sb"), "g")
-    pairs = prefix.select(F.col("id").alias("a"), F.col("size").alias("sa"), "g").join(b, "g").where(f"a < b and least(sa, sb) >= {least} * greatest(sa, sb) - 1e-9").select("a", "b").distinct()
+    prefix = ranked.select("id", "size", F.posexplode(F.slice("r", F.lit(1), F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + 1)).alias("pos", "p")).where("p.df > 1").select("id", "size", "pos", F.col("p.g").alias("g"))
+    # sizes of similar sets are in the same or neighbouring bands, so a hot shingle is split by size before it is joined
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1 / least))).cast("int") if least < 1 else F.col("size")
+    a = prefix.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), "g", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    b = prefix.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), "g", band.alias("band"))
+    # what can still be shared from here on must be enough
+    enough = f"1 + least(sa - pa - 1, sb - pb - 1) + least(pa, pb) >= {least / (1 + least)} * (sa + sb) - 1e-9"
+    pairs = a.join(b, ["g", "band"]).where(f"a < b and least(sa, sb) >= {least} * greatest(sa, sb) - 1e-9 and {enough}").select("a", "b").distinct()
     x = pairs.join(s.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(s.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
     return x.select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
@@ -162,6 +168,26 @@ def copied(docs: DataFrame, key: str, text: str, held: DataFrame, held_key: str,
     return both.withColumn("share", F.col("n") / F.least("na", "nb")).where(F.col("share") >= least).select(key, held_key, "share")
 
 
+def holding(docs: DataFrame, key: str, text: str, values: DataFrame, value_key: str, value: str) -> DataFrame:
+    """(key, value_key): texts that hold a value letter for letter, blanks collapsed on both sides; empty values are in none.
+
+    An equi-join on something both must have, then the test itself. A value of three or more words has a word with
+    blanks on both sides, which the text must have as a word too: the longest of them. Shorter values are looked up
+    among the text's stretches of their length; only lengths that occur are cut (they are those of one or two words).
+    """
+    v = values.select(value_key, collapse(value).alias("_v")).where("_v <> ''").withColumn("_words", F.split("_v", " "))
+    t = docs.select(key, collapse(text).alias("_t")).where("_t <> ''")
+    inner = F.slice("_words", F.lit(2), F.size("_words") - 2)
+    long = v.where(F.size("_words") > 2).withColumn("_anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    met = t.withColumn("_anchor", F.explode(F.array_distinct(F.split("_t", " ")))).join(long.select(value_key, "_v", "_anchor"), "_anchor").where(F.col("_t").contains(F.col("_v"))).select(key, value_key)
+    short = v.where(F.size("_words") <= 2).select(value_key, "_v", F.length("_v").alias("_n"))
+    # the lengths ride along as one list; a value of two words is seldom longer than a line
+    of = short.agg(F.sort_array(F.collect_set("_n")).alias("_all")).first()["_all"]
+    stretches = t.select(key, "_t", F.explode(F.array(*[F.lit(n) for n in of]) if of else F.array().cast("array<int>")).alias("_n"))
+    stretches = stretches.where(F.length("_t") >= F.col("_n")).select(key, "_n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1), lambda i: F.substring(F.col("_t"), i, F.col("_n"))))).alias("_v"))
+    return met.unionByName(stretches.join(short, ["_n", "_v"]).select(key, value_key)).distinct()
+
+
 def diversity(docs: DataFrame, by: str, text: str, n: int = 3) -> DataFrame:
     """(by, grams, distinct_grams, ratio): how many of a group's n-grams (each once per document) are different."""
     g = grams_of(docs, text, n, by).groupBy(by, "gram").agg(F.count(F.lit(1)).alias("n"))

@@ -181,3 +181,14 @@ def lineage_past(gone: DataFrame) -> DataFrame:
             break
         x = y.drop("_more")
     return y.drop("_more")
+
+
+def invocation_candidates(spans: DataFrame, order: list[str]) -> DataFrame:
+    """(trace_id, span_id, rank): outermost spans once containers are looked through, first started first.
+
+    spans have role and container. Containers, model and tool calls and excluded spans are none; nor is a span below
+    one that is no container, or on a circle.
+    """
+    line = lineage(spans, {"under": ~F.coalesce("container", F.lit(False))}).where("not under and not cyclic").select("trace_id", "span_id")
+    x = spans.where("not coalesce(container, false) and role not in ('model', 'tool', 'excluded')").join(line, ["trace_id", "span_id"], "left_semi")
+    return x.select("trace_id", "span_id", F.row_number().over(W.partitionBy("trace_id").orderBy(*order, "span_id")).alias("rank"))

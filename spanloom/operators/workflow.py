@@ -2,8 +2,8 @@
 
 Evidence links tie a tool call to the records its result reappears in. Text is only compared within a
 trace: whole leaves by equi-join on a hash, longer texts that may stand inside others by an equi-join on
-the trace with a containment test. A trace that alone holds a large part of all rows is split by hash
-on the side of the results; the targets are what is repeated.
+the hash of their first LEAST characters, verified by containment. So a hot trace costs what its records
+share, not their pairs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import collapse
+from spanloom.session import cut
 
 LEAST = 40  # characters; shorter texts have to be a whole leaf
 
@@ -44,30 +45,31 @@ def resolved_task(declared: DataFrame, messages: DataFrame | None = None) -> Dat
     return x.select("trace_id", F.when(F.col("source").isNull(), F.col("_said")).otherwise(F.col("task")).alias("task"), F.coalesce("source", F.lit("first_user_message")).alias("source"))
 
 
-def leaves(df: DataFrame, keep: Sequence[str], json: str, levels: int = 6) -> DataFrame:
+def leaves(df: DataFrame, keep: Sequence[str], json: str) -> DataFrame:
     """(keep, path, value): the scalar leaves of JSON texts, JSON inside strings opened; list places become [].
 
-    A round per level; what is nested deeper comes out as its JSON.
+    A round per level, down to the deepest; from the second on only what is still nested is read.
     """
     v = F.try_parse_json(F.col(json))
     cur = df.where(v.isNotNull()).select(*keep, F.lit("$").alias("path"), v.alias("v"))
     out = None
-    for level in range(levels + 1):
+    while True:
         kind = F.schema_of_variant("v")
         text = F.try_variant_get("v", "$", "string")
         inner = F.when(kind.startswith("STRING") & F.substring(F.ltrim(text), 1, 1).isin("{", "["), F.try_parse_json(text))
         x = cur.withColumns({"kind": kind, "inner": inner})
         x = x.withColumns({"v": F.coalesce("inner", "v")}).withColumn("kind", F.schema_of_variant("v"))
         nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
-        done = x.where(~nested | F.lit(level == levels)).where("kind <> 'VOID'").select(*keep, "path", F.when(nested, F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string")).alias("value"))
+        done = x.where(~nested).where("kind <> 'VOID'").select(*keep, "path", F.try_variant_get("v", "$", "string").alias("value"))
         out = done if out is None else out.unionByName(done)
-        if level == levels:
-            break
+        deeper = x.where(nested)
+        if deeper.isEmpty():
+            return out
+        x = cut(deeper.select(*keep, "path", F.to_json("v").alias("v")), "leaves").withColumn("v", F.try_parse_json("v")).withColumn("kind", F.schema_of_variant("v"))
         obj = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("s"), e["value"].alias("v")))
         arr = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda e: F.struct(F.lit("[]").alias("s"), e.alias("v")))
         # an object read as a map, a list as an array; the other of the two is null
-        cur = x.where(nested).select(*keep, "path", F.explode(F.when(F.col("kind").startswith("OBJECT"), obj).otherwise(arr)).alias("e")).where("e.v is not null").select(*keep, F.concat("path", "e.s").alias("path"), F.col("e.v").alias("v"))
-    return out
+        cur = x.select(*keep, "path", F.explode(F.when(F.col("kind").startswith("OBJECT"), obj).otherwise(arr)).alias("e")).where("e.v is not null").select(*keep, F.concat("path", "e.s").alias("path"), F.col("e.v").alias("v"))
 
 
 def field_options(df: DataFrame, key: str, json: str, names: Sequence[str]) -> DataFrame:
@@ -99,7 +101,7 @@ def same_round_links(nodes: DataFrame) -> DataFrame:
     return x.select("trace_id", F.col("span_id").alias("call_span_id"), F.lit("same_round").alias("kind"), F.col("first").alias("target_span_id"), F.lit("round").alias("basis"))
 
 
-def text_links(calls: DataFrame, targets: DataFrame, least: int = LEAST, spread: int = 8) -> DataFrame:
+def text_links(calls: DataFrame, targets: DataFrame, least: int = LEAST) -> DataFrame:
     """Evidence text_match: (trace_id, call_span_id, kind, target_span_id, basis, match_chars, shared_with).
 
     calls: (trace_id, span_id, output, end_ns); targets: (trace_id, span_id, text, start_ns), the text of one
@@ -111,10 +113,11 @@ def text_links(calls: DataFrame, targets: DataFrame, least: int = LEAST, spread:
     t = targets.select("trace_id", F.col("span_id").alias("target_span_id"), collapse("text").alias("t"), "start_ns").where("t <> ''")
     when = (F.col("start_ns") >= F.col("end_ns")) & (F.col("call_span_id") != F.col("target_span_id"))
     whole = c.withColumn("h", F.xxhash64("o")).join(t.withColumn("h", F.xxhash64("t")), ["trace_id", "h"]).where(when & (F.col("o") == F.col("t")))
-    # long results: spread over `spread` parts of a trace, targets repeated for each
-    part = F.pmod(F.xxhash64("call_span_id"), F.lit(spread))
-    inside = c.where(F.length("o") >= least).withColumn("part", part).join(t.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("part", F.col("part").cast("bigint")), ["trace_id", "part"])
-    inside = inside.where(when & (F.length("t") > F.length("o")) & F.col("t").contains(F.col("o")))
+    # long results meet the stretches of targets that are as their beginning; only traces with such results are cut up
+    long = c.where(F.length("o") >= least).withColumn("_h", F.xxhash64(F.substring("o", 1, least)))
+    cut_up = t.where(F.length("t") > least).join(long.select("trace_id").distinct(), "trace_id", "left_semi")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - least + 1), lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(least)))))
+    inside = long.join(cut_up.withColumn("_h", F.explode(runs)), ["trace_id", "_h"]).where(when & (F.length("t") > F.length("o")) & F.col("t").contains(F.col("o")))
     cols = ["trace_id", "call_span_id", "target_span_id", F.length("o").alias("match_chars"), F.xxhash64("o").alias("_h")]
     x = whole.select(*cols, F.lit("whole_leaf").alias("basis")).unionByName(inside.select(*cols, F.lit("contained").alias("basis")))
     x = x.groupBy("trace_id", "call_span_id", "target_span_id").agg(F.max("match_chars").alias("match_chars"), F.max_by("basis", "match_chars").alias("basis"), F.max_by("_h", "match_chars").alias("_h"))
@@ -151,6 +154,25 @@ def recovered_results(history: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("trace_id", "call_id").distinct(), ["trace_id", "call_id"], "left_anti")
 
 
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(trace_id, span_id, anc_id, depth): every span with each of its ancestors, the parent at depth 1.
+
+    nodes: (trace_id, span_id, parent_span_id). By doubling: in round k ancestors up to depth 2^k are known, so a trace
+    of depth d takes log2(d) rounds. A parent that isn't there ends the line; on a circle a span meets itself and stops.
+    """
+    up = nodes.select("trace_id", "span_id", F.col("parent_span_id").alias("anc_id")).where("anc_id is not null and anc_id <> span_id").distinct()
+    up = up.join(nodes.select("trace_id", F.col("span_id").alias("anc_id")).distinct(), ["trace_id", "anc_id"], "left_semi")
+    known = cut(up.withColumn("depth", F.lit(1)), "ancestors")
+    while True:
+        top = known.agg(F.max("depth")).first()[0] or 0
+        far = known.select("trace_id", F.col("span_id").alias("anc_id"), F.col("anc_id").alias("_next"), F.col("depth").alias("_more"))
+        new = known.where(F.col("depth") == top).join(far, ["trace_id", "anc_id"]).where("_next <> span_id").select("trace_id", "span_id", F.col("_next").alias("anc_id"), (F.col("depth") + F.col("_more")).alias("depth"))
+        new = cut(new.groupBy("trace_id", "span_id", "anc_id").agg(F.min("depth").alias("depth")).join(known.select("trace_id", "span_id", "anc_id"), ["trace_id", "span_id", "anc_id"], "left_anti"), "ancestors")
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+
+
 def nearest_enclosing(lineage: DataFrame, flagged: Column) -> DataFrame:
     """(trace_id, span_id, enclosing): the nearest flagged ancestor, from (trace_id, span_id, anc_id, depth, …)."""
     return lineage.where(flagged).groupBy("trace_id", "span_id").agg(F.min_by("anc_id", "depth").alias("enclosing"))

@@ -465,19 +465,26 @@ def ngram_docfreq(spark, d):
     return M.document_frequency(table(spark, d, "documents"), "doc_id", "text", 8, share=0.005)
 
 
-_HELD = f"h as (select item_id, {_W.format('prompt')} w from eval_items), hg as (select item_id, {_GRAMS.format(n=8)} gram from h where len(w) >= 8), d as (select doc_id, {_W.format('text')} w from documents), dg as (select doc_id, {_GRAMS.format(n=8)} gram from d where len(w) >= 8)"
+_TEXTS = "i as (select item_id * 2 text_id, prompt t from eval_items union all select item_id * 2 + 1, answer from eval_items)"
+_HELD = f"{_TEXTS}, h as (select text_id item_id, {_W.format('t')} w from i), hg as (select item_id, {_GRAMS.format(n=8)} gram from h where len(w) >= 8), d as (select doc_id, {_W.format('text')} w from documents), dg as (select doc_id, {_GRAMS.format(n=8)} gram from d where len(w) >= 8)"
+
+
+def item_texts(spark, d):
+    """Prompts and answers, each with an id of its own."""
+    i = table(spark, d, "eval_items")
+    return i.select((F.col("item_id") * 2).alias("text_id"), F.col("prompt").alias("held")).unionByName(i.select((F.col("item_id") * 2 + 1).alias("text_id"), F.col("answer").alias("held")))
 
 
 @query(f"with {_HELD} select distinct doc_id from dg where gram in (select gram from hg)")
 def contaminated_docs(spark, d):
-    return M.containing(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "prompt")
+    return M.containing(table(spark, d, "documents"), "doc_id", "text", item_texts(spark, d), "held")
 
 
 @query(f"""with {_HELD}, b as (select gram from dg group by 1 having count(*) >= greatest(3, 0.05 * (select count(*) from documents))), x as (select * from dg where gram not in (select gram from b)), y as (select * from hg where gram not in (select gram from b)),
     c as (select doc_id, item_id, count(*) n from x join y using (gram) group by 1, 2) select doc_id, item_id, round(n / least(nx, ny), 6) as share from c join (select doc_id, count(*) nx from x group by 1) using (doc_id) join (select item_id, count(*) ny from y group by 1) using (item_id) where n / least(nx, ny) >= 0.5""")
 def decontam_overlap(spark, d):
-    x = M.copied(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "prompt")
-    return x.select("doc_id", "item_id", r6("share").alias("share"))
+    x = M.copied(table(spark, d, "documents"), "doc_id", "text", item_texts(spark, d), "text_id", "held")
+    return x.select("doc_id", F.col("text_id").alias("item_id"), r6("share").alias("share"))
 
 
 @query(f"""with d as (select lang, {_W.format("text")} w from documents), e as (select lang, {_GRAMS.format(n=3)} gram from d where len(w) >= 3) select lang, count(*) grams, count(distinct gram) distinct_grams, round(count(distinct gram) / count(*), 6) ratio from e group by 1""")
@@ -498,11 +505,9 @@ def dense_topk(spark, d):
     return M.nearest_vectors(v, v.where("vec_id % 50 = 0")).withColumn("score", F.round("score", 5))
 
 
-@query("""select doc_id, item_id from documents join eval_items on length(answer) >= 40 and contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(answer, '\\s+', ' ', 'g')))""")
+@query("""select doc_id, item_id from documents join eval_items on trim(answer) <> '' and contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(answer, '\\s+', ' ', 'g')))""")
 def text_containment(spark, d):
-    items = table(spark, d, "eval_items").where("length(answer) >= 40").select("item_id", S.collapse("answer").alias("a"))
-    docs = table(spark, d, "documents").select("doc_id", S.collapse("text").alias("t"))
-    return docs.join(F.broadcast(items), F.col("t").contains(F.col("a"))).select("doc_id", "item_id")  # eval_items doesn't grow
+    return M.holding(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "answer")
 
 
 @query()

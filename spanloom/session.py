@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -63,21 +64,41 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_RUNS: dict[str, str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one, made at first use and removed when the driver's process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{shared_dir(spark)}/spanloom-{app}-{uuid.uuid4().hex}"
+        atexit.register(_removed, spark, app)
+    return _RUNS[app]
+
+
+def _removed(spark: SparkSession, app: str) -> None:
+    path = _RUNS.pop(app, None)
+    if path is None:
+        return
+    try:
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone by then; a folder left over does no harm
+        pass
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing."""
+    """Write df to the run's folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cuts(spark: SparkSession) -> None:
-    """Delete what cut() and the deletion vectors left in the shared folder. Only once no result that reads it is needed."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "spanloom-*")) or []:
-        fs.delete(found.getPath(), True)
+    """Delete what this run's cut() and deletion vectors left. Only once no result that reads it is needed; other runs' folders stay."""
+    _removed(spark, spark.sparkContext.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,9 +18,14 @@ def test_against_sql(spark, con, name):
     same(QUERIES[name](spark, SMALL), ORACLE[name], con)
 
 
+#: Queries whose tables hold none of what they report; their operators are tested on fixtures.
+NONE_THERE = {"evidence_links", "otlp_issues"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() >= 0
+def test_queries_without_sql_have_rows(spark, name):
+    n = QUERIES[name](spark, SMALL).count()
+    assert (n == 0) == (name in NONE_THERE), n
 
 
 def test_entry_is_complete(spark):

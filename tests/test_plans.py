@@ -18,10 +18,8 @@ def read_columns(text):
     return [set(re.findall(r"(\w+):", s)) for s in re.findall(r"ReadSchema: struct<([^\n]*)>", text)]
 
 
-@pytest.mark.parametrize("name, columns", [("group_count", {"event_type"}), ("brier_nll", {"doc_id", "lang", "source", "n_chars"}), ("session_event_types", None), ("status_matrix", {"l_returnflag", "l_linestatus"}), ("hash_split", {"doc_id"})])
+@pytest.mark.parametrize("name, columns", [("group_count", {"event_type"}), ("brier_nll", {"doc_id", "lang", "source", "n_chars"}), ("status_matrix", {"l_returnflag", "l_linestatus"}), ("hash_split", {"doc_id"})])
 def test_scans_read_what_is_needed(spark, name, columns):
-    if columns is None:
-        return
     assert all(c <= columns for c in read_columns(plan(spark, name)))
 
 
@@ -32,7 +30,7 @@ def test_hot_paths_stay_in_the_engine(spark, name):
     assert len(re.findall(r"\b(?:PythonUDF|ArrowEvalPython|BatchEvalPython|MapInArrow|MapInPandas|FlatMapGroupsInPandas)\b", text)) <= allowed
 
 
-@pytest.mark.parametrize("name, most", [("group_count", 2), ("brier_nll", 1), ("p7_found", 1), ("status_matrix", 1), ("json_path_filter", 0), ("running_caps", 1), ("hash_split", 0), ("numbered_ids", 1)])
+@pytest.mark.parametrize("name, most", [("group_count", 2), ("brier_nll", 1), ("p7_found", 1), ("status_matrix", 1), ("json_path_filter", 0), ("running_caps", 1), ("hash_split", 0), ("numbered_ids", 3)])
 def test_no_more_exchanges_than_keys(spark, name, most):
     assert len(re.findall(r"^[\s:+|*()\d-]*Exchange ", plan(spark, name), re.M)) <= most
 
@@ -52,7 +50,8 @@ def test_filters_reach_the_scan(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_product_of_tables(spark, name):
-    if name in ("span_buckets", "trace_shapes"):
-        return  # their rounds run while the plan is made
     text = plan(spark, name)
     assert "CartesianProduct" not in text
+    # a nested loop is only there to put one total row beside others, or for a stated set of queries
+    if name not in ("word_overlap_topk", "tv_distance", "bootstrap_ci"):
+        assert all("Cross" in x for x in re.findall(r"BroadcastNestedLoopJoin.*", text)), re.findall(r"BroadcastNestedLoopJoin.*", text)

@@ -46,6 +46,7 @@ def ranked(df: DataFrame, by: str, order: Sequence[Column | str], place: str, si
     Null is a group like any other. order has to be total within a group.
     """
     x = running(df, [by, *order], {"__p": F.lit(1)})
-    groups = x.groupBy(F.col(by).alias("__g")).agg(F.min("__p").alias("__f"), F.count(F.lit(1)).alias("__n"))
+    # where a group starts follows from the sizes of the groups before it
+    groups = running(df.groupBy(F.col(by).alias("__g")).agg(F.count(F.lit(1)).alias("__n")), ["__g"], {"__f": F.col("__n")})
     x = x.join(groups, F.col(by).eqNullSafe(F.col("__g")))
     return x.select(*df.columns, (F.col("__p") - F.col("__f")).alias(place), *([F.col("__n").alias(size)] if size else []))

@@ -260,9 +260,9 @@ def session_lineage(spark, d):
     return x.select("event_id", "user_id", F.sum("n").over(w).cast("bigint").alias("session"))
 
 
-@query("""select event_type action, evidence, count(*) cells from (select event_type, coalesce(array_to_string(list(event_type) over (partition by user_id order by ts, event_id rows between 2 preceding and 1 preceding), '>'), '') evidence from events) group by 1, 2""")
+@query("""select event_type action, evidence, count(*) cells from
+    (select event_type, coalesce(string_agg(event_type, '>') over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), '') evidence from events) group by 1, 2""")
 def decision_cells(spark, d):
-    # the SQL has the last two events only; the evidence is all events so far
     x = E.histories(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
     return x.groupBy(F.col("event_type").alias("action"), "evidence").agg(F.count(F.lit(1)).alias("cells"))
 
@@ -370,10 +370,9 @@ def source_entropy(spark, d):
     return E.entropy(table(spark, d, "documents").where("source is not null"), ["doc_kind"], "source").select("doc_kind", "kinds", r6("bits").alias("bits"))
 
 
-@query("""with s as (select user_id, string_agg(event_type, '>' order by ts, event_id) sig from (select *, row_number() over (partition by user_id order by ts, event_id) k from events) where k <= 3 group by 1), g as (select sig, count(*) n from s group by 1)
+@query("""with s as (select user_id, string_agg(event_type, '>' order by ts, event_id) sig from events group by 1), g as (select sig, count(*) n from s group by 1)
     select count(*) kinds, round(-sum(n / t * log2(n / t)), 6) bits from g cross join (select sum(n) t from g)""")
 def signature_entropy(spark, d):
-    # the SQL has the first three events only; the signature is of all of them
     s = E.signatures(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
     return E.entropy(s, [], "sig").select("kinds", r6("bits").alias("bits"))
 
@@ -510,6 +509,10 @@ def text_containment(spark, d):
     return M.holding(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "answer")
 
 
-@query()
+@query(f"""with d as (select item_id, {_W.format("prompt")} w from eval_items where prompt is not null), r as (select min(item_id) over (partition by w) rep, item_id, w from d), u as (select item_id, w from r where rep = item_id),
+    s as (select item_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end g from u),
+    e as (select item_id, unnest(g) g, len(g) n from s), c as (select a.item_id a, b.item_id b, count(*) k, any_value(a.n) na, any_value(b.n) nb from e a join e b on a.g = b.g and a.item_id < b.item_id group by 1, 2), p as (select a, b from c where k / (na + nb - k) >= 0.25),
+    l as (select a x, b y from p union all select b, a from p), m as (with recursive z as (select x, x y from l union select z.x, l.y from z join l on l.x = z.y) select x, min(y) c from z group by 1)
+    select r.item_id, coalesce(m.c, r.rep) as label from r left join m on m.x = r.rep""")
 def prompt_clusters(spark, d):
     return M.single_link(table(spark, d, "eval_items"), "item_id", "prompt")

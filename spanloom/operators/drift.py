@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -93,6 +93,12 @@ _IS = {"STRING": "schema_of_variant({0}) = 'STRING'", "NUMBER": "(schema_of_vari
 _FILLED = "({0} is not null and not is_variant_null({0}))"
 
 
+def json_type(v: Column) -> Column:
+    """string, number, boolean, array or object; null for a JSON null."""
+    kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.when(kind.isin("ARRAY", "OBJECT", "STRING", "BOOLEAN"), F.lower(kind)).when(kind != "VOID", "number")
+
+
 def _names(names) -> str:
     return ", ".join(f"'{n}'" for n in names)
 

@@ -36,10 +36,10 @@ def attribute_keys(spark, d):
 @query(f"""with {_KEYS}, y as (select "key", case json_type(attributes, '$."' || "key" || '"') when 'VARCHAR' then 'string' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'BOOLEAN' then 'boolean' when 'NULL' then null else 'number' end kind from k)
     select "key", array_to_string(list(distinct kind order by kind), ',') types from y where kind is not null group by 1 having count(distinct kind) > 1""")
 def loose_types(spark, d):
-    from spanloom.operators.drift import _json_type
+    from spanloom.operators.drift import json_type
 
     m = F.try_variant_get(F.try_parse_json("attributes"), "$", "map<string,variant>")
-    x = table(spark, d, "traces").select(F.explode(F.map_entries(m)).alias("e")).select(F.lit("traces").alias("tool"), F.col("e.key").alias("name"), _json_type(F.col("e.value")).alias("kind"))
+    x = table(spark, d, "traces").select(F.explode(F.map_entries(m)).alias("e")).select(F.lit("traces").alias("tool"), F.col("e.key").alias("name"), json_type(F.col("e.value")).alias("kind"))
     return P.loose_types(x).select(F.col("name").alias("key"), F.array_join("types", ",").alias("types"))
 
 

@@ -153,7 +153,13 @@ LISTS = {"array": "arrayValue", "kvlist": "kvlistValue"}
 
 
 def _text(x: pa.Array) -> pa.Array:
-    return x if pa.types.is_string(x.type) else x.cast(pa.string())
+    """As text; a whole double keeps its .0, so that it doesn't pass for an integer."""
+    import pyarrow.compute as pc
+
+    if pa.types.is_string(x.type):
+        return x
+    text = x.cast(pa.string())
+    return pc.if_else(pc.match_substring_regex(text, r"^-?\d+$"), pc.binary_join_element_wise(text, "0", "."), text) if pa.types.is_floating(x.type) else text
 
 
 def _first_text(leaves: dict[tuple, Leaf], base: tuple, depth: int) -> pa.Array:
